@@ -44,7 +44,7 @@ from .common import ship, stage, table
 from .near_dedup import mix
 
 LENGTH, GRAM = 200, 32
-PIECE, GROUP, SORT_BYTES = 1 << 20, 256, 1 << 20
+PIECE, GROUP, SORT_BYTES = 1 << 20, 20_000, 1 << 20
 U = np.uint64
 #: Odd bases of the polynomial hashes modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -74,10 +74,10 @@ mix_bytes = mix(np.arange(1, 257, dtype=U) * U(0xFF51AFD7ED558CCD))
 
 def anchors(data: np.ndarray, begin: int) -> tuple[np.ndarray, ...]:
     """Of one text or piece: gram hash, block hash, first and last start of each
-    anchor's windows, starts counted from ``begin``."""
+    anchor's windows, and the anchor, counted from ``begin``."""
     n = len(data) - LENGTH + 1
     if n < 1:
-        return tuple(np.zeros(0, t) for t in (U, U, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (U, U, np.int32, np.int32, np.int32))
     h = Hashes(data)
     grams = mix(h.of(np.arange(len(data) - GRAM + 1), GRAM))
     least = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U)  # ties go to the left
@@ -91,7 +91,7 @@ def anchors(data: np.ndarray, begin: int) -> tuple[np.ndarray, ...]:
     last = np.concatenate([first[1:] - 1, [n - 1]])
     at = at[first]
     block = mix(h.of(first, last - first + LENGTH) ^ mix((at - first).astype(U) * U(1 << 20) + (last - first).astype(U)))
-    return grams[at], block, first + begin, last + begin
+    return grams[at], block, *((x + begin).astype(np.int32) for x in (first, last, at))
 
 
 def _bytes_of(column: pa.Array) -> list[np.ndarray]:
@@ -99,11 +99,11 @@ def _bytes_of(column: pa.Array) -> list[np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["rid", "gram", "block", "first", "last"]
+    names = ["rid", "gram", "block", "first", "last", "at"]
 
     def made(rows: list) -> pa.RecordBatch:
         cols = [np.concatenate(c) for c in zip(*rows)]
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U else c, pa.int64()) for c in cols], names)
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U else c) for c in cols], names)
 
     for b in batches:
         rows, held = [], 0
@@ -167,15 +167,17 @@ def suffix_sort(data: np.ndarray, h: Hashes, at: np.ndarray, group: np.ndarray)
     return order
 
 
-def repeated(texts: list[bytes], groups: list[int]) -> list[np.ndarray]:
-    """Of each text of ``groups``, which of its windows another text or place of
-    its group also has."""
+def repeated(texts: list[bytes], groups: list[int], anchor: list[int]) -> list[np.ndarray]:
+    """Of each text of ``groups``, which of its windows another text of its
+    group also has. Equal windows have their anchor at one place, hence suffixes
+    are sorted among those with the same distance to their anchor; ``anchor`` is
+    that of each text's first window."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     windows = sizes - LENGTH + 1
     owner = np.repeat(np.arange(len(texts)), windows)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + (np.cumsum(sizes) - sizes)[owner]
-    h, group = Hashes(data), np.array(groups)[owner]
+    h, group = Hashes(data), np.unique(np.array(groups), return_inverse=True)[1][owner] * LENGTH + np.array(anchor)[owner] - (at - (np.cumsum(sizes) - sizes)[owner])
     order = suffix_sort(data, h, at, group)
     hit = np.zeros(len(at), bool)
     x, y = order[:-1], order[1:]
@@ -195,29 +197,31 @@ def _spans(hit: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, rid, first, text) sorted by gram; whole groups at a time."""
+    """Rows (gram, rid, first, anchor, text) sorted by gram; whole groups at a time."""
     grams: list[int] = []
     rids: list[int] = []
     firsts: list[int] = []
+    places: list[int] = []
     texts: list[bytes] = []
     held = 0
 
     def work() -> pa.RecordBatch:
         out: list[tuple] = []
-        for rid, first, hit in zip(rids, firsts, repeated(texts, grams)):
+        for rid, first, hit in zip(rids, firsts, repeated(texts, grams, places)):
             a, b = _spans(hit, first)
             out += [(rid, int(x), int(y)) for x, y in zip(a, b)]
         cols = list(zip(*out)) if out else [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "a", "b"])
 
     for batch in batches:
-        for gram, rid, first, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for gram, rid, first, place, text in zip(*(c.to_pylist() for c in batch.columns)):
             if held > SORT_BYTES and gram != grams[-1]:
                 yield work()
-                grams, rids, firsts, texts, held = [], [], [], [], 0
+                grams, rids, firsts, places, texts, held = [], [], [], [], [], 0
             grams.append(gram)
             rids.append(rid)
             firsts.append(first)
+            places.append(place)
             texts.append(text)
             held += len(text)
     if texts:
@@ -225,15 +229,15 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of blocks: (gram, rid, first, text)."""
+    """Texts of blocks: (gram, rid, first, place of the anchor in the text, text)."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for rid, packed, parts in zip(*(c.to_pylist() for c in batch.columns)):
             text = unpack.decompress(packed)
-            rows = [(p["gram"], rid, p["first"], text[p["first"] : p["last"] + LENGTH]) for p in parts]
+            rows = [(p["gram"], rid, p["first"], p["at"] - p["first"], text[p["first"] : p["last"] + LENGTH]) for p in parts]
             for a in range(0, len(rows), 5000):
                 cols = list(zip(*rows[a : a + 5000]))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["gram", "rid", "first", "text"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["gram", "rid", "first", "place", "text"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,21 +260,21 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeat_spans(rows: DataFrame) -> DataFrame:
     """``rid, a, b``: bytes to remove, as spans that may overlap, of rows
     ``rid, data`` (``data`` binary)."""
-    found = stage(rows.mapInArrow(_anchor_rows, "rid long, gram long, block long, first long, last long"), "anchors")
+    found = stage(rows.mapInArrow(_anchor_rows, "rid long, gram long, block long, first int, last int, at int"), "anchors")
     live = stage(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("n > 1").select("gram", (F.col("lo") == F.col("hi")).alias("alike")), "grams")
     beside = stage(found.join(live, "gram"), "live-anchors")
-    span = lambda df: df.select("rid", F.col("first").alias("a"), (F.col("last") + LENGTH).alias("b"))
+    span = lambda df: df.select("rid", F.col("first").cast("long").alias("a"), (F.col("last") + LENGTH).cast("long").alias("b"))
     mixed = beside.where("NOT alike").drop("alike")
-    blocks = mixed.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "last")).alias("one"))
+    blocks = mixed.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "last", "at")).alias("one"))
     blocks = stage(blocks, "blocks")
     again = mixed.join(blocks.where("n > 1").select("gram", "block"), ["gram", "block"])
     # One of each different block goes on, with its text.
     crowd = stage(blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("blocks")).where(F.col("blocks") > GROUP), "hot-grams")
-    each = blocks.select("gram", "one.rid", "one.first", "one.last")
-    parts = each.groupBy("rid").agg(F.collect_list(F.struct("gram", "first", "last")).alias("parts"))  # bounded by the text's length
+    each = blocks.select("gram", "one.rid", "one.first", "one.last", "one.at")
+    parts = each.groupBy("rid").agg(F.collect_list(F.struct("gram", "first", "last", "at")).alias("parts"))  # bounded by the text's length
     texts = rows.mapInArrow(_packed, "rid long, data binary").groupBy("rid").agg(F.first("data").alias("data"))
-    cut = stage(texts.join(parts, "rid").select("rid", "data", "parts").mapInArrow(_cut, "gram long, rid long, first long, text binary"), "block-texts")
-    few = cut.join(crowd, "gram", "left_anti").select("gram", "rid", "first", "text")
+    cut = stage(texts.join(parts, "rid").select("rid", "data", "parts").mapInArrow(_cut, "gram long, rid long, first long, place long, text binary"), "block-texts")
+    few = cut.join(crowd, "gram", "left_anti").select("gram", "rid", "first", "place", "text")
     sorted_ = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups, "rid long, a long, b long")
     hot = cut.join(crowd, "gram", "left_semi").select("gram", "rid", "first", "text")
     windows = stage(hot.repartition(_parts(rows)).mapInArrow(_windows, "x long, y long, rid long, start long"), "hot-windows")
