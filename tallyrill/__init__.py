@@ -1,0 +1 @@
+"""Rule analytics on Spark: see the README."""
