@@ -128,7 +128,13 @@ def _dims() -> dict[str, tuple[Query, str | None]]:
         "dim_has_where": (has_where, rule_sql("user_id, amount", "user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)", 500)),
         "dim_get_select": (get_select, rule_sql("user_id, CAST(CASE WHEN user_id IN (SELECT s_suppkey FROM supplier) THEN 1 ELSE 0 END AS BIGINT) AS known, CAST(coalesce((SELECT max(s_nationkey) FROM supplier WHERE s_suppkey = user_id), 0) AS BIGINT) AS nation", "true", 2048)),
         "dim_update_remove": (changed, rule_sql("user_id, CAST(CASE WHEN user_id = 6 THEN 1 ELSE user_id * 10 END AS BIGINT) AS v", "user_id BETWEEN 0 AND 39 AND (user_id % 3 <> 0 OR user_id = 6)", 2048)),
-        "dim_over_table": (over_base, rule_sql("o_custkey, CAST(CASE WHEN o_custkey = 7 THEN 777 ELSE (SELECT max(c_nationkey) FROM customer WHERE c_custkey = o_custkey) END AS BIGINT) AS nation", "o_custkey = 7 OR (o_custkey <> 5 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey > 12))", 1000, "sale")),
+        "dim_over_table": (
+            over_base,
+            f"""WITH {SALE}, latest AS (SELECT * FROM sale ORDER BY seq DESC LIMIT 2048),
+dim AS (SELECT c_custkey AS k, CAST(c_nationkey AS BIGINT) AS v FROM customer WHERE c_custkey NOT IN (5, 7) UNION ALL SELECT 7, 777),
+picked AS (SELECT o_custkey, v AS nation, row_number() OVER (ORDER BY seq DESC) - 1 AS row_no FROM latest JOIN dim ON k = o_custkey WHERE v > 12)
+SELECT row_no, o_custkey, nation FROM picked WHERE row_no < 1000""",
+        ),
     }
 
 
