@@ -94,12 +94,10 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
-        if not m:  # an open tag that never ends
-            m = re.compile(r"<[^<]*").match(page, at)
-            parts.append("" if re.match(r"</?[a-zA-Z!?]", m[0]) else m[0])
-            at = m.end()
-            continue
         at = m.end()
+        if m[4] == "<" and re.match(r"[a-zA-Z/!?]", page[at : at + 1]):  # a tag that never ends
+            at = page.find("<", at) if page.find("<", at) >= 0 else n
+            continue
         if m[4] is not None:
             parts.append(m[4])
             if anchor:

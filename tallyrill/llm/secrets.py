@@ -44,7 +44,7 @@ ALLOW = (
     re.compile(r"(.{1,4})\1{4,}.*"),
     re.compile(r".*(?:0123456789|abcdefghij|ABCDEFGHIJ).*"),
 )
-TERM = [0.0] + [c * math.log2(c) for c in range(1, WIDTH + 1)]
+TERM = [0.0] + [c * math.log2(c) for c in range(1, WIDTH + 2)]  # one more while a character enters
 
 
 def entropy_windows(run: str, letters: frozenset, least: float) -> list[tuple[int, int]]:
