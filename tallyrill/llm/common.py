@@ -6,8 +6,11 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,3 +53,19 @@ def ship(spark: SparkSession) -> None:
     target.write_bytes(data.getvalue())
     context.addPyFile(str(target))  # the driver serves it to all executors
     context._tallyrill_shipped = True
+
+
+def small(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 2 << 20, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most_rows`` rows and ``most_bytes``
+    in ``column`` (strings or bytes); a longer value comes alone. This bounds
+    what a worker holds beside one batch of input."""
+    for batch in batches:
+        import pyarrow.compute as pc
+
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(max(int(np.searchsorted(ends, before + most_bytes, "right")), at + 1), at + most_rows)
+            yield batch.slice(at, to - at)
+            at = to

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, stage, table
+from .common import ship, small, stage, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 5, 25
@@ -141,7 +141,7 @@ def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches, 1):
         h, n = cells(b.column(1).to_pylist())
         keys = band_keys(signatures(h, n)) if len(n) else np.zeros((0, BANDS), np.int64)
         sums = np.zeros((2, len(n)), U)
@@ -152,7 +152,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches, 1):
         h, n = cells(b.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([b.column(0), _lists(h, n)], ["id", "cells"])
 

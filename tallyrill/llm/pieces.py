@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, small, table
 
 MARK = "▁"
 CACHE = 200_000
@@ -144,7 +144,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 1):
             got = pieces(model).encode_batch(b.column(1).to_pylist())
             flat = np.concatenate(got) if got else np.zeros(0, np.int32)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in got])])
