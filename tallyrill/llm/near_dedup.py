@@ -34,6 +34,7 @@ from zlib import adler32, crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,9 +152,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64), pa.int64()) for x in sums), _lists(keys.ravel(), np.full(len(n), BANDS))], ["id", "n", "s1", "s2", "keys"])
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3)
     for b in small(batches, 1):
-        h, n = cells(b.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack.compress(x) for x in b.column(1).to_pylist()], pa.binary())], ["id", "packed"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for b in small(batches, 1, 1 << 19):
+        h, n = cells([unpack.decompress(x).decode("utf-8", "replace") for x in b.column(1).to_pylist()])
         yield pa.RecordBatch.from_arrays([b.column(0), _lists(h, n)], ["id", "cells"])
 
 
@@ -202,7 +210,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     paired = banded.join(ends, "key").select("id", F.explode(F.array("first", "last")).alias("with")).where("id <> with")
     pairs = stage(paired.select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")), "pairs")
     some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bags = stage(text.join(some, "id").mapInArrow(_cells, "id long, cells array<long>").groupBy("id").agg(F.max_by("cells", F.struct(F.size("cells"), F.xxhash64("cells"))).alias("cells")), "bags")
+    # Whole texts meet their ids packed, by one plan at every size of the input.
+    packed = text.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_pack, "id long, packed binary")
+    bags = stage(packed.join(some.hint("merge"), "id").mapInArrow(_cells, "id long, cells array<long>").groupBy("id").agg(F.max_by("cells", F.struct(F.size("cells"), F.xxhash64("cells"))).alias("cells")), "bags")
     nodes = member.select(F.col("rep").alias("id")).distinct()
     # The pair of most bands of each later document first, then what still parts components.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")
