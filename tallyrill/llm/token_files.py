@@ -77,17 +77,46 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        names = self.tok.get_vocab()
+        self.opens = np.zeros(max(names.values()) + 1, bool)
+        self.opens[[i for x, i in names.items() if x[:1] in ("\u0120", "\u010a")]] = True  # a byte-level vocabulary's space and line break
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.flat = np.zeros(1 << 16, np.uint32)  # ids of all remembered words in turn
+        self.ends = np.zeros(CACHE + 1, np.int64)  # word k has those from ends[k] to ends[k + 1]
 
     def plain(self, text: str) -> bool:
-        return bool(text) and not text[0].isspace() and not text[-1].isspace() and not any(x in text for x in ("  ", "\n\n", " \n", "\n ")) and not any(x in text for x in self.special)
+        return bool(text) and not text[0].isspace() and not text[-1].isspace() and not any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\0")) and not any(x in text for x in self.special)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each of ``texts``: words that open with a space or a line break
+        and have no other. They are encoded as one text; a token that opens with
+        either opens a word."""
+        flat = self.tok.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids
+        first = np.flatnonzero(self.opens[flat]) if flat else []
+        if len(first) != len(texts) or len(first) and first[0]:
+            return [x.tolist() for x in self.whole(texts)]
+        return [flat[a:b] for a, b in zip(first, [*first[1:], len(flat)])]
+
+    def remember(self, words: list[str]) -> None:
+        """Encode and keep words; one that opens a text is marked by NUL."""
+        bare = [w for w in words if w[:1] == "\0"]
+        rest = [w for w in words if w[:1] != "\0"]
+        ids = [x.tolist() for x in self.whole([w[1:] for w in bare])] + self.words([w if w[:1] == "\n" else " " + w for w in rest])
+        n, sizes = len(self.at), np.array([len(x) for x in ids], np.int64)
+        ends = self.ends[n] + np.cumsum(sizes)
+        if n + len(words) >= len(self.ends):  # one text of more distinct words
+            self.ends = np.concatenate([self.ends, np.zeros(len(words), np.int64)])
+        while ends[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.ends[n] : ends[-1]] = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        self.ends[n + 1 : n + 1 + len(words)] = ends
+        self.at.update(zip(bare + rest, range(n, n + len(words))))
 
     def encode(self, text: str) -> np.ndarray:
         if not self.plain(text):
@@ -99,10 +128,11 @@ class WordEncoder:
             if len(self.at) + len(new) > CACHE:
                 self.clear()
                 new = list(dict.fromkeys(words))
-            self.at.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
-            self.ids += self.whole([w if w[0] == "\n" else w[1:] if w is words[0] else " " + w for w in new])
-        at, ids = self.at, self.ids
-        return np.concatenate([ids[at[w]] for w in words])
+            self.remember(new)
+        k = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        first, size = self.ends[k], self.ends[k + 1] - self.ends[k]
+        place = np.cumsum(size)
+        return self.flat[np.repeat(first - place + size, size) + np.arange(place[-1])]
 
 
 _encoders: dict[str, WordEncoder] = {}
