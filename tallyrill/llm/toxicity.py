@@ -47,12 +47,36 @@ THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 
 
+class _Grams(dict):
+    """Slot of each trigram met, up to ``CACHE`` of them."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        slot = self[gram] = zlib.crc32(gram.encode()) % GRAM_SLOTS
+        return slot
+
+
+_gram_slot = _Grams()
+
+
 def slots(word: str) -> tuple[list[int], list[int]]:
     """Slots of a word's two vectors and of its trigrams."""
     w = f"^{word}$"
-    grams = [w[i : i + 3] for i in range(max(1, len(w) - 2))]
-    h = zlib.crc32(w.encode())
-    return [h % WORD_SLOTS, zlib.adler32(w.encode(), h) * 2654435761 % (1 << 32) % WORD_SLOTS], [zlib.crc32(g.encode()) % GRAM_SLOTS for g in grams]
+    raw = w.encode()
+    h = zlib.crc32(raw)
+    return [h % WORD_SLOTS, zlib.adler32(raw, h) * 2654435761 % (1 << 32) % WORD_SLOTS], [_gram_slot[w[i : i + 3]] for i in range(max(1, len(w) - 2))]
+
+
+def _row_sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their number in ``rows``, 0 to n - 1."""
+    out = np.zeros((n, values.shape[1]), np.float32)
+    if len(rows):
+        order = np.argsort(rows, kind="stable")
+        at = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        out[at[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
 
 
 def _sig(x: np.ndarray) -> np.ndarray:
@@ -71,12 +95,15 @@ class BiGru:
         for d in "fb":
             self.p |= {"w" + d: n(DIM, 3 * HID), "b" + d: z(3 * HID), "u" + d: n(HID, 3 * HID)}
 
-    def inputs(self, words: list[str]) -> np.ndarray:
-        """Vectors of words."""
-        out = np.empty((len(words), DIM), np.float32)
-        for i, w in enumerate(words):
-            a, g = slots(w)
-            out[i] = self.p["ew"][a].sum(0) + self.p["ec"][g].mean(0)
+    def inputs(self, where: list[tuple[list[int], list[int]]]) -> np.ndarray:
+        """Vectors of words, given the ``slots`` of each."""
+        out = np.empty((len(where), DIM), np.float32)
+        for a in range(0, len(where), 8192):
+            part = where[a : a + 8192]
+            size = np.array([len(g) for _, g in part])
+            grams = self.p["ec"][np.fromiter((x for _, g in part for x in g), np.int64, int(size.sum()))]
+            means = np.add.reduceat(grams, np.cumsum(size) - size, axis=0) / size[:, None]
+            out[a : a + 8192] = self.p["ew"][np.array([w for w, _ in part])].sum(1) + means
         return out
 
     def gates(self, x: np.ndarray) -> np.ndarray:
@@ -125,6 +152,7 @@ class BiGru:
         dboth = alpha[:, :, None] * dc + da @ self.p["wa"].T
         dgates = np.zeros((n_words, 6 * HID), np.float32)
         steps, n = index.shape
+        block = np.empty((steps, n, 3 * HID), np.float32)
         for k, d in enumerate("fb"):
             u, du, dh = self.p["u" + d], np.zeros((HID, 3 * HID), np.float32), np.zeros((n, HID), np.float32)
             for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
@@ -135,22 +163,24 @@ class BiGru:
                 dz = -dh * m * (nt - h) * zt * (1 - zt)
                 dr = dn * sn * rt * (1 - rt)
                 ds = np.concatenate([dz, dr, dn * rt], 1)
-                np.add.at(dgates, (index[t][:, None], np.arange(3 * HID * k, 3 * HID * (k + 1))), np.concatenate([dz, dr, dn], 1))
+                block[t] = np.concatenate([dz, dr, dn], 1)
                 du += h.T @ ds
                 dh = dh * (1 - m * (1 - zt)) + ds @ u.T
             g["u" + d] = du
+            dgates[:, 3 * HID * k : 3 * HID * (k + 1)] = _row_sums(block.reshape(-1, 3 * HID), index.ravel(), n_words)
         return g, dgates
 
     def fit(self, windows: list[list[str]], y: np.ndarray, epochs: int = 3, rate: float = 0.006, seed: int = 3) -> BiGru:
         rng, m1, m2, t = np.random.default_rng(seed), {}, {}, 0
+        known = {w: slots(w) for w in {w for ws in windows for w in ws}}
         for _ in range(epochs):
             order = rng.permutation(len(windows))
             for at in range(0, len(order), 128):
                 pick = order[at : at + 128]
                 names = sorted({w for i in pick for w in windows[i]})
                 row = {w: j for j, w in enumerate(names)}
-                where = [slots(w) for w in names]
-                x = self.inputs(names) if names else np.zeros((1, DIM), np.float32)
+                where = [known[w] for w in names]
+                x = self.inputs(where) if names else np.zeros((1, DIM), np.float32)
                 index, mask = np.zeros((WIDTH, len(pick)), np.int64), np.zeros((WIDTH, len(pick)), np.float32)
                 for j, i in enumerate(pick):
                     k = len(windows[i])
@@ -166,8 +196,7 @@ class BiGru:
                 for name, k in (("ew", 0), ("ec", 1)):  # of the tables, only the rows that occur are touched
                     rows, back = np.unique(np.concatenate([x[k] for x in where] or [[0]]).astype(np.int64), return_inverse=True)
                     share = np.repeat(dx, [len(x[k]) for x in where], 0) / (np.repeat([len(x[k]) for x in where], [len(x[k]) for x in where])[:, None] if k else 1)
-                    v = np.zeros((len(rows), DIM), np.float32)
-                    np.add.at(v, back, share[: len(back)])
+                    v = _row_sums(share, back[: len(share)], len(rows))
                     held = m2.setdefault(name, np.full(self.p[name].shape, 1e-8, np.float32))
                     held[rows] += v * v
                     self.p[name][rows] -= (5 * rate * v / np.sqrt(held[rows])).astype(np.float32)
@@ -208,7 +237,7 @@ class Scorer:
             n = len(self.at)
             while n + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[n : n + len(new)] = self.model.gates(self.model.inputs(new))
+            self.rows[n : n + len(new)] = self.model.gates(self.model.inputs([slots(w) for w in new]))
             self.at.update(zip(new, range(n, n + len(new))))
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
@@ -295,10 +324,11 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> BiGru | None:
     if not n[0] or not n[1]:
         return None
     strong = telling(words, toxic)
+    tells = {x for x in {x for ws in words for x in ws} if any(p in strong for p in parts(x))}
     pos, neg, hard = [], [], []
     for ws, y in zip(words, toxic):
         for w in windows_of(ws):
-            told = any(p in strong for x in w for p in parts(x))
+            told = not tells.isdisjoint(w)
             if y and told:
                 pos.append(w)
             elif not y:
