@@ -6,7 +6,8 @@ import io
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -69,3 +70,46 @@ def small(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 2 <<
             to = min(max(int(np.searchsorted(ends, before + most_bytes, "right")), at + 1), at + most_rows)
             yield batch.slice(at, to - at)
             at = to
+
+
+def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The whole numbers of all ranges from ``first`` to under ``last`` in turn."""
+    size = last - first
+    place = np.cumsum(size)
+    return np.repeat(first - place + size, size) + np.arange(place[-1] if len(place) else 0)
+
+
+class WordIds:
+    """Ids of words, which ``work`` gives as a list of lists for a list of
+    words. Of words met lately up to twice ``most`` are remembered: those met
+    since the last turn of generations, and those of the generation before."""
+
+    def __init__(self, work: Callable[[list[str]], list[list[int]]], most: int):
+        self.work, self.most = work, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of all lists in turn, and the ends of the lists in
+        them, 0 first."""
+        if not len(lists):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        coded = lists.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        ids = [self.young.get(w) for w in words]
+        rest = [k for k, x in enumerate(ids) if x is None]
+        if len(self.young) + len(rest) > self.most:
+            self.old, self.young = self.young, {}
+        new = []
+        for k in rest:
+            ids[k] = self.old.get(words[k])
+            if ids[k] is None:
+                new.append(k)
+        new.sort(key=words.__getitem__)
+        for k, x in zip(new, self.work([words[k] for k in new]) if new else ()):
+            ids[k] = array("i", x).tobytes()
+        self.young.update((words[k], ids[k]) for k in rest)
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
+        flat = np.frombuffer(b"".join(ids), np.int32)[ranges(ends[code], ends[code + 1])]
+        place = np.concatenate([[0], np.cumsum(ends[code + 1] - ends[code])])
+        return flat, place[lists.offsets.to_numpy()]

@@ -30,12 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, small, table
+from .common import WordIds, ranges, ship, small, table
 
 MARK = "▁"
+#: Stands for a mark of the text itself; no word has two line breaks.
+OWN = "\n\n"
 CACHE = 200_000
 WORD = re.compile(r"▁*[^▁\n]+|\n|▁+")
 
@@ -49,18 +52,24 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.text = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.text) if sp.is_byte(i)}
-        self.of_byte = {i: b for b, i in self.byte.items()}
+        of_byte = {i: bytes([b]) for b, i in self.byte.items()}
+        raw = [of_byte.get(i, p.replace(MARK, " ").encode()) for i, p in enumerate(self.text)]
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.byte_ends = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
         self.unknown = sp.unk_id()
         plain = [i for i in range(len(self.text)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.score = {self.text[i]: (sp.get_score(i), i) for i in plain}
         #: A character as bytes scores below all paths of pieces.
         self.worst = min(s for s, _ in self.score.values()) * 16 - 1000
-        self.sizes = sorted({len(p) for p in self.score}, reverse=True)
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+#: A trie of the pieces read from their ends, with scores under "": of pieces
+        #: that end at one place it meets the shorter ones first.
+        self.backward: dict = {}
+        for p, (score, _) in self.score.items():
+            node = self.backward
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = score
+        self.words = WordIds(self.find, CACHE)
 
     def viterbi(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct words, given in sorted order."""
@@ -73,12 +82,16 @@ class Pieces:
                 k += 1
             del best[k + 1 :], back[k + 1 :]
             for end in range(k + 1, len(word) + 1):
-                top, origin = best[end - 1] + self.worst, -(end - 1) - 1  # below zero: as bytes
-                for size in self.sizes:
-                    if size <= end:
-                        found = self.score.get(word[end - size : end])
-                        if found and best[end - size] + found[0] > top:
-                            top, origin = best[end - size] + found[0], end - size
+                top, origin = best[end - 1] + self.worst, -end  # below zero: as bytes
+                node, start = self.backward, end
+                while start:
+                    node = node.get(word[start - 1])
+                    if node is None:
+                        break
+                    start -= 1
+                    found = node.get("")
+                    if found is not None and best[start] + found >= top:
+                        top, origin = best[start] + found, start
                 best.append(top)
                 back.append(origin)
             ids: list[int] = []
@@ -95,38 +108,44 @@ class Pieces:
             last = word
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = []
-        for t in texts:
-            literal = MARK in t
-            marked = MARK + (t.replace(MARK, "\0\0") if literal else t).replace(" ", MARK) if t else ""
-            split.append([x for w in WORD.findall(marked) for x in (re.split("(\0\0)", w) if "\0\0" in w else (w,)) if x] if literal else WORD.findall(marked))
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and the ends of the texts in them, 0 first."""
+        # Single spaces and line breaks only: words can be cut by replacement.
+        plain = np.array(["  " not in t and MARK not in t and "\0" not in t for t in texts], bool)
+        parts = []
+        for k, cut in ((np.flatnonzero(plain), self._cut_plain), (np.flatnonzero(~plain), self._cut)):
+            parts.append((k, *self.words.encode(cut([texts[i] for i in k]))))
+        first, last = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for (k, flat, ends), shift in zip(parts, (0, len(parts[0][1]))):
+            first[k], last[k] = ends[:-1] + shift, ends[1:] + shift
+        flat = np.concatenate([parts[0][1], parts[1][1]])
+        return flat[ranges(first, last)], np.concatenate([[0], np.cumsum(last - first)])
+
+    def _cut_plain(self, texts: list[str]) -> pa.Array:
+        return pc.split_pattern(pa.array([(MARK + t).replace(" ", "\0" + MARK).replace("\n", "\0\n\0") if t else "" for t in texts], pa.string()), "\0")
+
+    def _cut(self, texts: list[str]) -> pa.Array:
         out = []
-        for a in range(0, len(split), 256):
-            group = split[a : a + 256]
-            new = sorted({w for ws in group for w in ws if w not in self.at})
-            if new:
-                if len(self.at) + len(new) > CACHE:
-                    self.clear()
-                    new = sorted({w for ws in group for w in ws})
-                marks = [self.byte.get(b, self.unknown) for b in MARK.encode()]
-                paths = self.viterbi([w for w in new if w != "\0\0"])
-                found = dict(zip((w for w in new if w != "\0\0"), paths))
-                self.at.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
-                self.ids += [np.array(marks if w == "\0\0" else found[w], np.int32) for w in new]
-            at, ids = self.at, self.ids
-            out += [np.concatenate([ids[at[w]] for w in ws]) if ws else np.zeros(0, np.int32) for ws in group]
-        return out
-
-    def decode(self, ids: np.ndarray) -> str:
-        raw = bytearray()
-        for i in ids.tolist():
-            b = self.of_byte.get(i)
-            if b is None:
-                raw += self.text[i].replace(MARK, " ").encode()
-            else:
-                raw.append(b)
-        return raw.decode("utf-8", "replace")[1:]
+        for t in texts:
+            words: list[str] = []
+            for k, part in enumerate(t.split(MARK)):
+                words += [OWN] * (k > 0) + WORD.findall(MARK * (k == 0 and t != "") + part.replace(" ", MARK))
+            out.append(words)
+        return pa.array(out, pa.list_(pa.string()))
+
+    def find(self, words: list[str]) -> list[list[int]]:
+        """Ids of distinct sorted words."""
+        marks = [self.byte.get(b, self.unknown) for b in MARK.encode()]
+        found = iter(self.viterbi([w for w in words if w != OWN]))
+        return [marks if w == OWN else next(found) for w in words]
+
+    def decode_batch(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of the ids ``flat[ends[k]:ends[k + 1]]``."""
+        flat = np.asarray(flat)
+        places = np.concatenate([[0], np.cumsum(self.byte_ends[flat + 1] - self.byte_ends[flat])])
+        raw = self.bytes[ranges(self.byte_ends[flat], self.byte_ends[flat + 1])].tobytes()
+        cut = places[ends].tolist()
+        return [raw[x:y].decode("utf-8", "replace")[1:] for x, y in zip(cut, cut[1:])]
 
 
 _models: dict[str, Pieces] = {}
@@ -145,9 +164,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 1):
-            got = pieces(model).encode_batch(b.column(1).to_pylist())
-            flat = np.concatenate(got) if got else np.zeros(0, np.int32)
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in got])])
+            flat, ends = pieces(model).encode_batch(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -163,7 +180,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for b in batches:
             ids = b.column(1)
             flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
-            texts = [pieces(model).decode(flat[x:y]) for x, y in zip(ends, ends[1:])]
+            texts = pieces(model).decode_batch(flat, ends)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(work, f"doc_id {kind}, ids array<int>, text string")
@@ -173,7 +190,7 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, n_pieces, ids_crc32, decoded_sha256`` of each row: crc32 is of
     the ids as little-endian unsigned 32-bit integers, sha256 of the text that
     decoding gives back, in UTF-8."""
-    back = decode(encode(docs, model), model)
+    encoded = encode(docs, model)
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +198,10 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
             ids = b.column(1)
             flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
             crcs = [zlib.crc32(flat[x:y].astype("<u4").tobytes()) for x, y in zip(ends, ends[1:])]
-            shas = [hashlib.sha256(t.encode()).hexdigest() for t in b.column(2).to_pylist()]
+            shas = [hashlib.sha256(t.encode()).hexdigest() for t in pieces(model).decode_batch(flat, ends)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
 
-    return back.mapInArrow(work, f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    return encoded.mapInArrow(work, f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_sha256 string")
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

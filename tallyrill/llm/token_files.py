@@ -30,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship, table
+from .common import WordIds, shared_dir, ship, small, table
 
 END_ID = 2
 BLOCK, CHUNK = 1 << 16, 1 << 20
@@ -80,12 +81,7 @@ class WordEncoder:
         names = self.tok.get_vocab()
         self.opens = np.zeros(max(names.values()) + 1, bool)
         self.opens[[i for x, i in names.items() if x[:1] in ("\u0120", "\u010a")]] = True  # a byte-level vocabulary's space and line break
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)  # ids of all remembered words in turn
-        self.ends = np.zeros(CACHE + 1, np.int64)  # word k has those from ends[k] to ends[k + 1]
+        self.remembered = WordIds(self.find, CACHE)
 
     def plain(self, text: str) -> bool:
         return bool(text) and not text[0].isspace() and not text[-1].isspace() and not any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\0")) and not any(x in text for x in self.special)
@@ -103,36 +99,25 @@ class WordEncoder:
             return [x.tolist() for x in self.whole(texts)]
         return [flat[a:b] for a, b in zip(first, [*first[1:], len(flat)])]
 
-    def remember(self, words: list[str]) -> None:
-        """Encode and keep words; one that opens a text is marked by NUL."""
-        bare = [w for w in words if w[:1] == "\0"]
-        rest = [w for w in words if w[:1] != "\0"]
-        ids = [x.tolist() for x in self.whole([w[1:] for w in bare])] + self.words([w if w[:1] == "\n" else " " + w for w in rest])
-        n, sizes = len(self.at), np.array([len(x) for x in ids], np.int64)
-        ends = self.ends[n] + np.cumsum(sizes)
-        if n + len(words) >= len(self.ends):  # one text of more distinct words
-            self.ends = np.concatenate([self.ends, np.zeros(len(words), np.int64)])
-        while ends[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.ends[n] : ends[-1]] = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        self.ends[n + 1 : n + 1 + len(words)] = ends
-        self.at.update(zip(bare + rest, range(n, n + len(words))))
-
-    def encode(self, text: str) -> np.ndarray:
-        if not self.plain(text):
-            return self.whole([text])[0]
-        words = text.replace("\n", " \n").split(" ")
-        words[0] = "\0" + words[0]  # marks the one word without a space
-        new = [w for w in dict.fromkeys(words) if w not in self.at]
-        if new:
-            if len(self.at) + len(new) > CACHE:
-                self.clear()
-                new = list(dict.fromkeys(words))
-            self.remember(new)
-        k = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        first, size = self.ends[k], self.ends[k + 1] - self.ends[k]
-        place = np.cumsum(size)
-        return self.flat[np.repeat(first - place + size, size) + np.arange(place[-1])]
+    def find(self, words: list[str]) -> list[list[int]]:
+        """Ids of distinct words; the one that opens a text is marked by a space before it."""
+        bare = [w for w in words if w[:1] == " "]
+        rest = [w for w in words if w[:1] != " "]
+        found = dict(zip(bare + rest, [x.tolist() for x in self.whole([w[1:] for w in bare])] + self.words([w if w[:1] == "\n" else " " + w for w in rest])))
+        return [found[w] for w in words]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plain = np.array([self.plain(t) for t in texts], bool)
+        out: list[np.ndarray] = [None] * len(texts)
+        # NUL parts the words; it is in no plain text.
+        cut = pa.array([" " + texts[k].replace(" ", "\0").replace("\n", "\0\n") for k in np.flatnonzero(plain)], pa.string())
+        flat, ends = self.remembered.encode(pc.split_pattern(cut, "\0"))
+        for k, a, b in zip(np.flatnonzero(plain), ends, ends[1:]):
+            out[k] = flat[a:b].view(np.uint32)
+        rest = np.flatnonzero(~plain)
+        for k, ids in zip(rest, self.whole([texts[k] for k in rest])):
+            out[k] = ids
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -174,9 +159,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             return pa.RecordBatch.from_pylist([row], arrow)
 
         held = 0
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(np.append(code.encode(text), np.uint32(END_ID)))
+        for batch in small(batches, 1):
+            for name, found in zip(batch.column(0).to_pylist(), code.encode(batch.column(1).to_pylist())):
+                ids.append(np.append(found, np.uint32(END_ID)))
                 names.append(name)
                 held += len(ids[-1])
                 if held >= CHUNK:

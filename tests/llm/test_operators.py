@@ -275,6 +275,9 @@ def test_pieces(spark):
     got = rows_of(pieces.decode(pieces.encode(docs(spark), path), path))
     assert Counter(r["text"] for r in got) == Counter(t or "" for _, t, *_ in ROWS)
     p = pieces.Pieces(path)
+    of_byte = {i: b for b, i in p.byte.items()}
+    texts = ["", "a\u2581b c", "two  spaces\0 \n\nthe", " \u2581\u2581 \0\0", *(t or "" for _, t, *_ in ROWS)]
+    assert p.decode_batch(*p.encode_batch(texts)) == texts
     words = sorted({"▁" + w for w in prose(60, 3).split()} | {"▁", "▁é😀", "▁the"})
     best = p.viterbi(words)
     for w, ids in zip(words, best):  # a plain Viterbi for each word
@@ -284,8 +287,8 @@ def test_pieces(spark):
         cost = 0.0
         k = 0
         while k < len(ids):
-            if ids[k] in p.of_byte:
-                first = p.of_byte[ids[k]]
+            if ids[k] in of_byte:
+                first = of_byte[ids[k]]
                 k += 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
                 cost += p.worst
             else:
