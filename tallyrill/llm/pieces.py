@@ -39,7 +39,7 @@ from .common import WordIds, ranges, ship, small, table
 MARK = "▁"
 #: Stands for a mark of the text itself; no word has two line breaks.
 OWN = "\n\n"
-CACHE = 200_000
+CACHE = 100_000
 WORD = re.compile(r"▁*[^▁\n]+|\n|▁+")
 
 
@@ -190,18 +190,18 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, n_pieces, ids_crc32, decoded_sha256`` of each row: crc32 is of
     the ids as little-endian unsigned 32-bit integers, sha256 of the text that
     decoding gives back, in UTF-8."""
-    encoded = encode(docs, model)
+    ship(docs.sparkSession)
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(1)
-            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
+        code = pieces(model)
+        for b in small(batches, 1):
+            flat, ends = code.encode_batch(b.column(1).to_pylist())
             crcs = [zlib.crc32(flat[x:y].astype("<u4").tobytes()) for x, y in zip(ends, ends[1:])]
-            shas = [hashlib.sha256(t.encode()).hexdigest() for t in pieces(model).decode_batch(flat, ends)]
+            shas = [hashlib.sha256(t.encode()).hexdigest() for t in code.decode_batch(flat, ends)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
 
-    return encoded.mapInArrow(work, f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_sha256 string")
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

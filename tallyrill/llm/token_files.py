@@ -39,8 +39,8 @@ from .common import WordIds, shared_dir, ship, small, table
 
 END_ID = 2
 BLOCK, CHUNK = 1 << 16, 1 << 20
-#: A worker keeps the ids of so many words; older ones are forgotten.
-CACHE = 300_000
+#: A worker keeps the ids of up to twice so many words; older ones are forgotten.
+CACHE = 100_000
 
 CHUNKS = "part int, chunk int, n_ids long, first_doc long, last_doc long, docs array<long>, lengths array<int>, planes array<binary>"
 
