@@ -13,10 +13,13 @@ its length; where a coordinate stays empty, the height is raised.
 ``BANDS`` bands of ``ROWS`` coordinates: documents of similarity 0.8 share none
 with a probability under 1e-4. Documents of equal multisets are first reduced to
 one representative. In each bucket every member is paired with the least and
-with the greatest id (two pairs a member, not all pairs). The best pair of each
-document is verified exactly, and components are formed; pairs whose ends are
-then in two components are verified next, and so on to the end. Components grow
-by hooking and pointer jumping over tables in the shared folder.
+with the greatest id (two pairs a member). The best pair of each document is
+verified exactly, and components are formed; pairs whose ends are then in two
+components are verified next. In buckets whose other members still lie in
+several components, all pairs of these that components part are compared too, in
+blocks of ``BLOCK`` by ``BLOCK`` members, each pair in the first bucket it
+shares; so no two texts that share a bucket stay uncompared. Components grow by
+hooking and pointer jumping over tables in the shared folder.
 
 Defined results
   * a null text counts as empty; texts of 1 to 4 words are one shingle; texts
@@ -38,13 +41,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, small, stage, table
+from .common import ranges, ship, small, stage, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 5, 25
 COORDS = ROWS * BANDS
 DARTS = COORDS * np.log(COORDS) + 2 * COORDS
 CACHE = 400_000
+#: Members and cells of one side of a block, about.
+BLOCK, BLOCK_CELLS = 512, 1 << 20
 U = np.uint64
 
 
@@ -194,6 +199,55 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("sim")).where(F.col("sim") >= THRESHOLD).select("a", "b")
 
 
+def _compare(block: pa.Table) -> pa.Table:
+    """The links ``a, b`` among the members of one block: pairs of its two sides
+    that lie in two components, have this bucket as the first in common, and
+    are of similarity THRESHOLD or more."""
+    block = block.combine_chunks()
+    key, i, j = (block.column(c)[0].as_py() for c in ("key", "i", "j"))
+    ids, roots, side = (block.column(c).to_numpy() for c in ("id", "root", "g"))
+    cells_of = block.column("cells").combine_chunks()
+    keys = block.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+    ends = cells_of.offsets.to_numpy().astype(np.int64)
+    ends -= ends[0]
+    n = np.diff(ends)
+    codes = np.unique(cells_of.flatten().to_numpy(), return_inverse=True)[1]
+    mark = np.zeros(len(codes), bool)
+    right, found = np.flatnonzero(side == j), []
+    for a in np.flatnonzero(side == i):
+        other = right[right > a] if i == j else right
+        other = other[roots[other] != roots[a]]
+        other = other[np.minimum(n[other], n[a]) / np.maximum(n[other], n[a]) >= THRESHOLD]
+        same = keys[other] == keys[a]
+        other = other[~same.any(1) | (keys[a][same.argmax(1)] == key)]
+        if not len(other):
+            continue
+        mine = codes[ends[a] : ends[a + 1]]
+        mark[mine] = True
+        starts = np.cumsum(n[other]) - n[other]
+        common = np.add.reduceat(mark[codes[ranges(ends[other], ends[other + 1])]], starts, dtype=np.int64)
+        mark[mine] = False
+        found += [(ids[a], ids[b]) for b in other[common / (n[a] + n[other] - common) >= THRESHOLD]]
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _settled(banded: DataFrame, ends: DataFrame, reps: DataFrame, found: DataFrame, bags: DataFrame) -> DataFrame | None:
+    """The links ``a, b`` between components among members of a bucket that are
+    not its ends; None where no bucket has such members."""
+    inner = banded.join(ends, "key").where("id <> first AND id <> last").select("key", "id")
+    inner = inner.join(found, "id").join(reps.select("id", "n"), "id")
+    groups = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_CELLS)).cast("int").alias("groups")
+    loose = inner.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), groups).where("low < high").select("key", "groups")
+    dealt = stage(inner.join(loose, "key").select("key", "id", "root", "groups", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("g")), "loose")
+    if dealt.limit(1).count() == 0:
+        return None
+    whole = dealt.join(bags, "id").join(reps.select("id", "keys"), "id")
+    sides = whole.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    sides = sides.select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "id", "root", "cells", "keys")
+    return stage(sides.groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, class_size, kept``: a row for each distinct id."""
     ship(docs.sparkSession)
@@ -203,9 +257,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = rows.where("n > 0 AND id IS NOT NULL")
     reps = stage(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "representatives")
     member = full.join(reps, ["s1", "s2", "n"]).select("id", "n", "rep", "keys")
-    member = stage(member.groupBy("id").agg(F.max_by("rep", F.struct("n", "rep")).alias("rep"), F.max_by("keys", F.struct("n", "rep")).alias("keys")), "members")
+    member = stage(member.groupBy("id").agg(F.max("n").alias("n"), F.max_by("rep", F.struct("n", "rep")).alias("rep"), F.max_by("keys", F.struct("n", "rep")).alias("keys")), "members")
     # Buckets of representatives, and their pairs.
-    banded = member.where("id = rep").select("id", F.explode("keys").alias("key"))
+    lone = member.where("id = rep").select("id", "n", "keys")
+    banded = lone.select("id", F.explode("keys").alias("key"))
     ends = stage(banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"), "buckets")
     paired = banded.join(ends, "key").select("id", F.explode(F.array("first", "last")).alias("with")).where("id <> with")
     pairs = stage(paired.select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")), "pairs")
@@ -221,7 +276,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
     more = stage(_verified(apart, bags), "links")
     if more.limit(1).count():
-        found = stage(components(nodes, links.union(more)), "components")
+        links = links.union(more)
+        found = stage(components(nodes, links), "components")
+    # Then what the ends of the buckets do not settle.
+    inside = _settled(banded, ends, lone, found, bags)
+    if inside is not None and inside.limit(1).count():
+        found = stage(components(nodes, links.union(inside)), "components")
     named = member.select("id", "rep").join(found.select(F.col("id").alias("rep"), "root"), "rep").select("id", F.col("root").alias("class_id"))
     sizes = stage(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"), F.min("id").alias("least")), "sizes")
     named = named.join(sizes, "class_id").select("id", F.col("least").alias("class_id"), "class_size")

@@ -1,0 +1,52 @@
+"""Operators do the whole job: cases that a shortcut would miss."""
+
+import random
+from collections import Counter
+
+from tallyrill.llm import near_dedup
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def brute_classes(texts):
+    """The least index of each text's class."""
+    words = [t.lower().split() for t in texts]
+    bags = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = sum((bags[i] & bags[j]).values())
+            if common / (sum(bags[i].values()) + sum(bags[j].values()) - common) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_dedup_inside_buckets(spark, monkeypatch):
+    """Near copies among texts that share a template, in buckets whose ends are unlike both."""
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(400)]
+
+    def edit(words, slots):
+        words = words[:]
+        for k in slots:
+            words[6 * k + 3] = f"x{r.random()}"
+        return words
+
+    made = [edit(base, r.sample(range(66), 6)) for _ in range(120)]
+    made += [edit(made[k], r.sample(range(66), 4)) for k in range(40, 60)]
+    texts = [" ".join(w) for w in made]
+    r.shuffle(texts)
+    want = brute_classes(texts)
+    assert len(set(want)) in range(90, 130)
+    for block in (512, 40):
+        monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+        df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
+        got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(df).collect()}
+        assert got == dict(enumerate(want))
