@@ -24,6 +24,7 @@ Defined results
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ END_ID = 2
 BLOCK, CHUNK = 1 << 16, 1 << 20
 #: A worker keeps the ids of up to twice so many words; older ones are forgotten.
 CACHE = 100_000
+#: White space that may run on with a space or a line break beside it.
+ODD_SPACE = re.compile(r"[^\S \n]")
 
 CHUNKS = "part int, chunk int, n_ids long, first_doc long, last_doc long, docs array<long>, lengths array<int>, planes array<binary>"
 
@@ -70,7 +73,8 @@ class WordEncoder:
     Byte-level BPE splits a text before the space that opens a word and before
     a line break between words, so the ids of a text are those of its words in
     turn. That holds for texts whose words are parted by single spaces and
-    single line breaks; all others are encoded whole."""
+    single line breaks and that have no other white space; all others are
+    encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,7 +88,7 @@ class WordEncoder:
         self.remembered = WordIds(self.find, CACHE)
 
     def plain(self, text: str) -> bool:
-        return bool(text) and not text[0].isspace() and not text[-1].isspace() and not any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\0")) and not any(x in text for x in self.special)
+        return bool(text) and not text[0].isspace() and not text[-1].isspace() and not any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\0")) and not ODD_SPACE.search(text) and not any(x in text for x in self.special)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]

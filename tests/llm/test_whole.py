@@ -3,7 +3,9 @@
 import random
 from collections import Counter
 
-from tallyrill.llm import near_dedup
+import public_tokenizers
+
+from tallyrill.llm import near_dedup, token_files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,3 +52,14 @@ def test_near_dedup_inside_buckets(spark, monkeypatch):
         df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
         got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(df).collect()}
         assert got == dict(enumerate(want))
+
+
+def test_token_files_white_space():
+    """Runs of spaces with other white space between them are one token's matter."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a \u00a0 \u00a0 b", "a\u00a0b c", "x \t \t y", "a \u2003 \u2003 b\nc", "one two\nthree", "a\r\nb \r c"]
+    tok = Tokenizer.from_file(path)
+    got = token_files.WordEncoder(path).encode(texts)
+    assert [x.tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
