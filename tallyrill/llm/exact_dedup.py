@@ -2,8 +2,9 @@
 
 The index is a table bucketed and sorted by the digest of the normalised text.
 New rows are reduced to one row for each digest, a sort-merge anti-join against
-the index tells which digests are new, and these are appended. The index side
-of that join is neither shuffled nor sorted again.
+the index tells which digests are new, and these are appended. What became of
+each row is read back from the index. The index side of these joins is neither
+shuffled nor sorted again.
 
 Defined results
   * a null text counts as the empty text; empty texts equal each other;
@@ -11,6 +12,8 @@ Defined results
     comes after all others;
   * rows that repeat an id are rows of their own in ``group_size``, and all
     rows with the id that stays are kept;
+  * a text that the index held before keeps the id that it has there, and no
+    row of it is kept, not even one with that id;
   * columns other than the id and the text are not looked at, whatever their
     names; an empty table gives an empty result.
 """
@@ -67,7 +70,7 @@ class DigestIndex:
     def unseen(self, best: DataFrame) -> DataFrame:
         """The rows of ``best`` (one a digest) whose digest the index lacks."""
         if not self.exists():
-            return best
+            self.append(best.limit(0))
         known = self.read().select("digest").hint("merge")
         return best.join(known, "digest", "left_anti")
 
@@ -97,14 +100,15 @@ def report(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
     ``SALTS`` such keys, hence no task gets all rows of a hot text."""
     rows = stage(digests(df, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")), "rows")
     best = stage(winners(rows), "winners")
-    index.append(stage(index.unseen(best), "new-digests"))
-    groups = best.where("n > 1")
+    new = stage(index.unseen(best), "new-digests")
+    index.append(new)
+    held = best.select("digest", "n").join(index.read().select("digest", "keep_id").hint("merge"), "digest")
+    groups = held.join(new.select("digest", F.lit(True).alias("new")), "digest", "left")
     salted = rows.select("digest", "salt").distinct().join(groups, "digest")
-    many = rows.join(salted.hint("shuffle_hash"), ["digest", "salt"], "left")
-    keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    many = rows.join(salted.hint("shuffle_hash"), ["digest", "salt"])
     return many.select(
-        F.col("id"), keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.col("id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"),
+        F.col("id"), "keep_id", F.col("n").cast("long").alias("group_size"),
+        (F.col("new").isNotNull() & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256"),
     )
 
 

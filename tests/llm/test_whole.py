@@ -5,7 +5,7 @@ from collections import Counter
 
 import public_tokenizers
 
-from tallyrill.llm import near_dedup, token_files
+from tallyrill.llm import exact_dedup, near_dedup, token_files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -63,3 +63,16 @@ def test_token_files_white_space():
     tok = Tokenizer.from_file(path)
     got = token_files.WordEncoder(path).encode(texts)
     assert [x.tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_exact_dedup_batches(spark):
+    """A second batch is judged by what the index held before it, on a new index as on an old one."""
+    idx = exact_dedup.DigestIndex(spark, "t_batches", 4)
+    idx.drop()
+    first = spark.createDataFrame([(5, "a b", "", "", 0), (6, "ab", "", "", 0), (7, "c", "", "", 0)], DOCS)
+    second = spark.createDataFrame([(1, "a  b", "", "", 0), (7, "c", "", "", 0), (8, "d", "", "", 0), (9, "d", "", "", 0)], DOCS)
+    got = [sorted((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.report(x, idx).collect()) for x in (first, second)]
+    assert got[0] == [(5, 5, 2, True), (6, 5, 2, False), (7, 7, 1, True)]
+    assert got[1] == [(1, 5, 1, False), (7, 7, 1, False), (8, 8, 2, True), (9, 8, 2, False)]
+    assert idx.read().count() == 3
+    idx.drop()
