@@ -3,7 +3,12 @@
 Each stage gets the rows that the stage before kept; all but the last return the
 columns of ``documents``, the last one the ids of the pieces of each text and
 the text that they decode to. Between stages ``run`` writes the rows to the
-shared folder and reads them again."""
+shared folder and reads them again.
+
+Each row is judged by itself: a stage gives every row a key of its own and
+decides by it, so rows that repeat an id or have a null one neither stay nor go
+together. Of equal or near-equal texts the least id stays, null ids last; of
+rows equal in id and text one."""
 
 from __future__ import annotations
 
@@ -16,32 +21,43 @@ from tallyrill.llm import decontaminate, exact_dedup, near_dedup, pieces, qualit
 from tallyrill.llm.common import stage, table
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in the one column of ``ids``."""
-    named = ids.toDF("__id")
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["__id"]), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``__key``, a number of its own for each row, in the order of
+    ids (null ones last), hashes of texts, and repeats. Written once, so that
+    the keys hold for all that reads them."""
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("__row")]
+    rows = docs.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(rows.drop("__row").withColumn("__key", F.monotonically_increasing_id()), "keyed")
+
+
+def _only(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key is in the one column of ``keys``."""
+    return keyed.join(keys.toDF("__key"), "__key", "left_semi").drop("__key")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents below the threshold of quality go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select("doc_id"))
+    keyed = _keyed(docs)
+    return _only(keyed, quality.score(keyed.withColumn("doc_id", F.col("__key")), model).where(F.col("score") >= quality.THRESHOLD).select("doc_id"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of equal texts one stays."""
-    return exact_dedup.DigestIndex(spark, f"pipeline_index_{uuid.uuid4().hex}").dedup(docs)
+    return exact_dedup.DigestIndex(spark, f"pipeline_index_{uuid.uuid4().hex}").dedup(_keyed(docs), "__key").drop("__key")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each class of near-duplicates the least id stays."""
-    return _only(docs, near_dedup.near_duplicates(docs).where("kept").select("doc_id"))
+    keyed = _keyed(docs)
+    return _only(keyed, near_dedup.near_duplicates(keyed, "__key").where("kept").select("doc_id"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents with a benchmark window go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.where("NOT contaminated").select("doc_id"))
+    keyed = _keyed(docs)
+    found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), "__key")
+    return _only(keyed, found.where("NOT contaminated").select("doc_id"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,15 +146,20 @@ def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values.view(np.int64), pa.int64()))
 
 
+def _sums(h: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """Two sums of hashes for each text, which tell multisets apart."""
+    sums = np.zeros((2, len(n)), U)
+    owner = np.repeat(np.arange(len(n)), n)
+    np.add.at(sums[0], owner, h)
+    np.add.at(sums[1], owner, mix(h ^ U(0x1234567890ABCDEF)))
+    return [pa.array(x.view(np.int64), pa.int64()) for x in sums]
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small(batches, 1):
         h, n = cells(b.column(1).to_pylist())
         keys = band_keys(signatures(h, n)) if len(n) else np.zeros((0, BANDS), np.int64)
-        sums = np.zeros((2, len(n)), U)
-        owner = np.repeat(np.arange(len(n)), n)
-        np.add.at(sums[0], owner, h)
-        np.add.at(sums[1], owner, mix(h ^ U(0x1234567890ABCDEF)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64), pa.int64()) for x in sums), _lists(keys.ravel(), np.full(len(n), BANDS))], ["id", "n", "s1", "s2", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *_sums(h, n), _lists(keys.ravel(), np.full(len(n), BANDS))], ["id", "n", "s1", "s2", "keys"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +172,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for b in small(batches, 1, 1 << 19):
         h, n = cells([unpack.decompress(x).decode("utf-8", "replace") for x in b.column(1).to_pylist()])
-        yield pa.RecordBatch.from_arrays([b.column(0), _lists(h, n)], ["id", "cells"])
+        yield pa.RecordBatch.from_arrays([b.column(0), _lists(h, n), *_sums(h, n)], ["id", "cells", "s1", "s2"])
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -253,11 +258,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = stage(text.mapInArrow(_sketch, "id long, n long, s1 long, s2 long, keys array<long>"), "sketches")
-    # Representatives of equal multisets.
-    full = rows.where("n > 0 AND id IS NOT NULL")
+    # One row for each id, and representatives of equal multisets.
+    full = rows.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("n", "s1", "s2", "keys"), F.struct("n", "s1", "s2")).alias("x"))
+    full = stage(full.select("id", "x.*"), "longest")
     reps = stage(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "representatives")
-    member = full.join(reps, ["s1", "s2", "n"]).select("id", "n", "rep", "keys")
-    member = stage(member.groupBy("id").agg(F.max("n").alias("n"), F.max_by("rep", F.struct("n", "rep")).alias("rep"), F.max_by("keys", F.struct("n", "rep")).alias("keys")), "members")
+    member = stage(full.join(reps, ["s1", "s2", "n"]).select("id", "n", "rep", "keys"), "members")
     # Buckets of representatives, and their pairs.
     lone = member.where("id = rep").select("id", "n", "keys")
     banded = lone.select("id", F.explode("keys").alias("key"))
@@ -267,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # Whole texts meet their ids packed, by one plan at every size of the input.
     packed = text.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_pack, "id long, packed binary")
-    bags = stage(packed.join(some.hint("merge"), "id").mapInArrow(_cells, "id long, cells array<long>").groupBy("id").agg(F.max_by("cells", F.struct(F.size("cells"), F.xxhash64("cells"))).alias("cells")), "bags")
+    bags = stage(packed.join(some.hint("merge"), "id").mapInArrow(_cells, "id long, cells array<long>, s1 long, s2 long").groupBy("id").agg(F.max_by("cells", F.struct(F.size("cells"), "s1", "s2")).alias("cells")), "bags")
     nodes = member.select(F.col("rep").alias("id")).distinct()
     # The pair of most bands of each later document first, then what still parts components.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")

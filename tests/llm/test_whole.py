@@ -76,3 +76,17 @@ def test_exact_dedup_batches(spark):
     assert got[1] == [(1, 5, 1, False), (7, 7, 1, False), (8, 8, 2, True), (9, 8, 2, False)]
     assert idx.read().count() == 3
     idx.drop()
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """Rows that repeat an id, or have none, are judged one by one."""
+    import corpus_pipeline
+
+    say = lambda k: " ".join(f"{k}word{i}" for i in range(30))
+    rows = [(1, say("a")), (1, say("a")), (1, say("b")), (None, say("a")), (None, say("c")), (None, say("c")), (None, say("d"))]
+    df = spark.createDataFrame([(*x, "", "", 0) for x in rows], DOCS)
+    spark.createDataFrame([(1, say("d"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = lambda x: sorted(((r["doc_id"] or 0, r["text"][0]) for r in x.collect()))
+    once = corpus_pipeline.dedup(spark, df, str(tmp_path))
+    assert once.columns == df.columns and seen(once) == [(0, "c"), (0, "d"), (1, "a"), (1, "b")]
+    assert seen(corpus_pipeline.decontaminate_stage(spark, once, str(tmp_path))) == [(0, "c"), (1, "a"), (1, "b")]
