@@ -6,12 +6,12 @@ import io
 import tempfile
 import uuid
 import zipfile
-from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,8 +61,6 @@ def small(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 2 <<
     in ``column`` (strings or bytes); a longer value comes alone. This bounds
     what a worker holds beside one batch of input."""
     for batch in batches:
-        import pyarrow.compute as pc
-
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
         at = 0
         while at < batch.num_rows:
@@ -80,14 +78,15 @@ def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """Ids of words, which ``work`` gives as a list of lists for a list of
-    words. Of words met lately up to twice ``most`` are remembered: those met
-    since the last turn of generations, and those of the generation before."""
+    """Ids of words, which ``work`` gives for an array of distinct sorted words:
+    all ids in turn, and the words' ends in them, 0 first. Words of about the
+    last ``most`` to twice ``most`` met are remembered, in Arrow and numpy arrays:
+    those met since the last turn of generations, and the generation before."""
 
-    def __init__(self, work: Callable[[list[str]], list[list[int]]], most: int):
+    def __init__(self, work: Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]], most: int):
         self.work, self.most = work, most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        none = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.young = self.old = self.none = none
 
     def encode(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words of all lists in turn, and the ends of the lists in
@@ -95,21 +94,34 @@ class WordIds:
         if not len(lists):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         coded = lists.flatten().dictionary_encode()
-        code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        ids = [self.young.get(w) for w in words]
-        rest = [k for k, x in enumerate(ids) if x is None]
-        if len(self.young) + len(rest) > self.most:
-            self.old, self.young = self.young, {}
-        new = []
-        for k in rest:
-            ids[k] = self.old.get(words[k])
-            if ids[k] is None:
-                new.append(k)
-        new.sort(key=words.__getitem__)
-        for k, x in zip(new, self.work([words[k] for k in new]) if new else ()):
-            ids[k] = array("i", x).tobytes()
-        self.young.update((words[k], ids[k]) for k in rest)
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
-        flat = np.frombuffer(b"".join(ids), np.int32)[ranges(ends[code], ends[code + 1])]
-        place = np.concatenate([[0], np.cumsum(ends[code + 1] - ends[code])])
-        return flat, place[lists.offsets.to_numpy()]
+        code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        at = pc.index_in(words, value_set=self.young[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+        rest = words.filter(pa.array(at < 0))
+        more, ends = self._rest(rest)
+        # Distinct words lie in the young generation first, then in what is met again or new.
+        first, last = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        known, flat = at >= 0, self.young[1]
+        first[known], last[known] = self.young[2][at[known]], self.young[2][at[known] + 1]
+        first[~known], last[~known] = ends[:-1] + len(flat), ends[1:] + len(flat)
+        both = np.concatenate([flat, more])
+        if len(self.young[0]) + len(rest) > self.most:
+            self.old, self.young = self.young, (rest, more, ends)
+        else:
+            self.young = pa.concat_arrays([self.young[0], rest]), both, np.concatenate([self.young[2], ends[1:] + len(flat)])
+        first, last = first[code], last[code]
+        place = np.concatenate([[0], np.cumsum(last - first)])
+        return both[ranges(first, last)], place[lists.offsets.to_numpy()]
+
+    def _rest(self, rest: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and ends of words that the young generation lacks."""
+        at = pc.index_in(rest, value_set=self.old[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(at < 0)
+        fresh = rest.take(pa.array(new))
+        order = pc.array_sort_indices(fresh).to_numpy()
+        flat, ends = self.work(fresh.take(pa.array(order))) if len(new) else self.none[1:]
+        first, last = np.empty(len(rest), np.int64), np.empty(len(rest), np.int64)
+        known = at >= 0
+        first[known], last[known] = self.old[2][at[known]], self.old[2][at[known] + 1]
+        first[new[order]], last[new[order]] = ends[:-1] + len(self.old[1]), ends[1:] + len(self.old[1])
+        out = np.concatenate([self.old[1], flat])[ranges(first, last)]
+        return out, np.concatenate([[0], np.cumsum(last - first)])

@@ -27,6 +27,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,9 @@ from .common import WordIds, ranges, ship, small, table
 MARK = "▁"
 #: Stands for a mark of the text itself; no word has two line breaks.
 OWN = "\n\n"
-CACHE = 100_000
+CACHE = 300_000
+#: Texts are encoded in batches of up to so many bytes and rows.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
 WORD = re.compile(r"▁*[^▁\n]+|\n|▁+")
 
 
@@ -61,7 +64,7 @@ class Pieces:
         self.score = {self.text[i]: (sp.get_score(i), i) for i in plain}
         #: A character as bytes scores below all paths of pieces.
         self.worst = min(s for s, _ in self.score.values()) * 16 - 1000
-#: A trie of the pieces read from their ends, with scores under "": of pieces
+        #: A trie of the pieces read from their ends, with scores under "": of pieces
         #: that end at one place it meets the shorter ones first.
         self.backward: dict = {}
         for p, (score, _) in self.score.items():
@@ -133,11 +136,14 @@ class Pieces:
             out.append(words)
         return pa.array(out, pa.list_(pa.string()))
 
-    def find(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct sorted words."""
+    def find(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct sorted words in turn, and the words' ends, 0 first."""
         marks = [self.byte.get(b, self.unknown) for b in MARK.encode()]
-        found = iter(self.viterbi([w for w in words if w != OWN]))
-        return [marks if w == OWN else next(found) for w in words]
+        names = words.to_pylist()
+        walked = iter(self.viterbi([w for w in names if w != OWN]))
+        found = [marks if w == OWN else next(walked) for w in names]
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        return np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1])), ends
 
     def decode_batch(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
         """Texts of the ids ``flat[ends[k]:ends[k + 1]]``."""
@@ -163,7 +169,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches, 1):
+        for b in small(batches, 1, BATCH_BYTES, BATCH_ROWS):
             flat, ends = pieces(model).encode_batch(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
 
@@ -195,7 +201,7 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = pieces(model)
-        for b in small(batches, 1):
+        for b in small(batches, 1, BATCH_BYTES, BATCH_ROWS):
             flat, ends = code.encode_batch(b.column(1).to_pylist())
             crcs = [zlib.crc32(flat[x:y].astype("<u4").tobytes()) for x, y in zip(ends, ends[1:])]
             shas = [hashlib.sha256(t.encode()).hexdigest() for t in code.decode_batch(flat, ends)]

@@ -28,6 +28,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,16 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import WordIds, shared_dir, ship, small, table
+from .common import WordIds, ranges, shared_dir, ship, small, table
 
 END_ID = 2
 BLOCK, CHUNK = 1 << 16, 1 << 20
 #: A worker keeps the ids of up to twice so many words; older ones are forgotten.
-CACHE = 100_000
+CACHE = 400_000
+#: Texts are encoded in batches of up to so many bytes and rows.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 8192
 #: White space that may run on with a space or a line break beside it.
 ODD_SPACE = re.compile(r"[^\S \n]")
 
@@ -90,38 +94,53 @@ class WordEncoder:
     def plain(self, text: str) -> bool:
         return bool(text) and not text[0].isspace() and not text[-1].isspace() and not any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\0")) and not ODD_SPACE.search(text) and not any(x in text for x in self.special)
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each of ``texts``: words that open with a space or a line break
-        and have no other. They are encoded as one text; a token that opens with
-        either opens a word."""
-        flat = self.tok.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids
-        first = np.flatnonzero(self.opens[flat]) if flat else []
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and their ends, 0 first."""
+        found = [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        return np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1])), ends
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that open with a space or a line break and have no
+        other. They are encoded as one text; a token that opens with either opens
+        a word."""
+        flat = np.array(self.tok.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.int32)
+        first = np.flatnonzero(self.opens[flat])
         if len(first) != len(texts) or len(first) and first[0]:
-            return [x.tolist() for x in self.whole(texts)]
-        return [flat[a:b] for a, b in zip(first, [*first[1:], len(flat)])]
-
-    def find(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct words; the one that opens a text is marked by a space before it."""
-        bare = [w for w in words if w[:1] == " "]
-        rest = [w for w in words if w[:1] != " "]
-        found = dict(zip(bare + rest, [x.tolist() for x in self.whole([w[1:] for w in bare])] + self.words([w if w[:1] == "\n" else " " + w for w in rest])))
-        return [found[w] for w in words]
+            return self.whole(texts)
+        return flat, np.append(first, len(flat))
+
+    def find(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for distinct sorted words; one that opens a text is marked by
+        a space before it. These come after those with a line break, and before
+        most others."""
+        opening = pc.starts_with(words, " ").to_numpy(zero_copy_only=False)
+        broken = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        lead = pc.if_else(pa.array(broken), "", " ")
+        rest = pc.binary_join_element_wise(lead, words, "").filter(pa.array(~opening))
+        parts = self.whole([w[1:] for w in words.filter(pa.array(opening)).to_pylist()]), self.words(rest.to_pylist())
+        first, last = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        for where, (_, ends), shift in zip((opening, ~opening), parts, (0, len(parts[0][0]))):
+            first[where], last[where] = ends[:-1] + shift, ends[1:] + shift
+        flat = np.concatenate([parts[0][0], parts[1][0]])
+        return flat[ranges(first, last)], np.concatenate([[0], np.cumsum(last - first)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        flat, ends = self.encode_batch(texts)
+        return [flat[a:b].view(np.uint32) for a, b in zip(ends, ends[1:])]
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and their ends, 0 first."""
         plain = np.array([self.plain(t) for t in texts], bool)
-        out: list[np.ndarray] = [None] * len(texts)
         # NUL parts the words; it is in no plain text.
         cut = pa.array([" " + texts[k].replace(" ", "\0").replace("\n", "\0\n") for k in np.flatnonzero(plain)], pa.string())
-        flat, ends = self.remembered.encode(pc.split_pattern(cut, "\0"))
-        for k, a, b in zip(np.flatnonzero(plain), ends, ends[1:]):
-            out[k] = flat[a:b].view(np.uint32)
-        rest = np.flatnonzero(~plain)
-        for k, ids in zip(rest, self.whole([texts[k] for k in rest])):
-            out[k] = ids
-        return out
+        parts = self.remembered.encode(pc.split_pattern(cut, "\0")), self.whole([texts[k] for k in np.flatnonzero(~plain)])
+        first, last = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        for where, (_, ends), shift in zip((plain, ~plain), parts, (0, len(parts[0][0]))):
+            first[where], last[where] = ends[:-1] + shift, ends[1:] + shift
+        flat = np.concatenate([parts[0][0], parts[1][0]])
+        return flat if plain.all() else flat[ranges(first, last)], np.concatenate([[0], np.cumsum(last - first)])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -144,8 +163,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     spark = docs.sparkSession
     ship(docs.sparkSession)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not isinstance(docs.select(id_col).schema[0].dataType, IntegralType):
+        raise TypeError(f"{id_col} is no whole number")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", F.length("text"), "text")
+    # Length and hash part the rows of one id, null ones too, among tasks.
+    order = [F.col("id"), F.length("text"), F.xxhash64("text")]
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     out = spark.createDataFrame([], CHUNKS).schema
     arrow = _schema(out)
 
@@ -153,25 +176,37 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         from pyspark import TaskContext
 
         part, code, number = TaskContext.get().partitionId(), encoder(tokenizer), 0
-        ids: list[np.ndarray] = []
-        names: list[int | None] = []
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # ids, lengths and names of whole documents
 
         def chunk() -> pa.RecordBatch:
-            flat = np.concatenate(ids)
-            real = [x for x in names if x is not None]
-            row = {"part": part, "chunk": number, "n_ids": len(flat), "first_doc": min(real, default=None), "last_doc": max(real, default=None), "docs": names[:], "lengths": [len(x) for x in ids], "planes": planes(flat)}
-            return pa.RecordBatch.from_pylist([row], arrow)
-
-        held = 0
-        for batch in small(batches, 1):
-            for name, found in zip(batch.column(0).to_pylist(), code.encode(batch.column(1).to_pylist())):
-                ids.append(np.append(found, np.uint32(END_ID)))
-                names.append(name)
-                held += len(ids[-1])
-                if held >= CHUNK:
+            flat, lengths = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            names = pa.concat_arrays([h[2] for h in held])
+            real = pc.min_max(names).as_py()
+            of = pa.array([0, len(names)], pa.int32())
+            row = [
+                pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(flat)], pa.int64()),
+                pa.array([real["min"]], pa.int64()), pa.array([real["max"]], pa.int64()),
+                pa.ListArray.from_arrays(of, names), pa.ListArray.from_arrays(of, pa.array(lengths, pa.int32())),
+                pa.array([planes(flat)], pa.list_(pa.binary())),
+            ]
+            return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(row, arrow)], schema=arrow)
+
+        for batch in small(batches, 1, BATCH_BYTES, BATCH_ROWS):
+            bare, ends = code.encode_batch(batch.column(1).to_pylist())
+            lengths = np.diff(ends) + 1
+            flat = np.full(len(bare) + len(lengths), END_ID, np.int32)
+            flat[np.arange(len(bare)) + np.repeat(np.arange(len(lengths)), lengths - 1)] = bare
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            at, full = 0, sum(len(h[0]) for h in held)
+            while at < len(lengths):
+                to = min(int(np.searchsorted(ends, ends[at] + CHUNK - full)), len(lengths))
+                held.append((flat[ends[at] : ends[to]], lengths[at:to], batch.column(0).slice(at, to - at)))
+                full += int(ends[to] - ends[at])
+                at = to
+                if full >= CHUNK:
                     yield chunk()
-                    ids, names, held, number = [], [], 0, number + 1
-        if ids:
+                    held, full, number = [], 0, number + 1
+        if held:
             yield chunk()
 
     rows.mapInArrow(encode, out).write.option("compression", "none").parquet(path)

@@ -90,3 +90,46 @@ def test_pipeline_rows(spark, tmp_path):
     once = corpus_pipeline.dedup(spark, df, str(tmp_path))
     assert once.columns == df.columns and seen(once) == [(0, "c"), (0, "d"), (1, "a"), (1, "b")]
     assert seen(corpus_pipeline.decontaminate_stage(spark, once, str(tmp_path))) == [(0, "c"), (1, "a"), (1, "b")]
+
+
+def test_token_files_null_ids(spark, tmp_path, monkeypatch):
+    """Rows without an id, and rows of one id, each are documents; ids that are no whole numbers are refused."""
+    import zlib
+
+    import numpy as np
+    import pytest
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "CHUNK", 40)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(None, f"w{k} " * k) for k in range(30)] + [(7, "x " * k) for k in range(20)] + [(2, None)]
+    token_files.write(spark.createDataFrame([(*x, "", "", 0) for x in rows], DOCS), str(tmp_path / "t"), path, parts=6)
+    got = sorted(token_files.read(spark, str(tmp_path / "t")).collect(), key=lambda r: r["start"])
+    tok, at = Tokenizer.from_file(path), 0
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1] or "")))
+    for r, (i, t) in zip(got, order):
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert len(got) == len(rows)
+    with pytest.raises(TypeError):
+        token_files.write(spark.createDataFrame([("a", "b")], "doc_id string, text string"), str(tmp_path / "s"), path)
+
+
+def test_word_ids_generations():
+    """Words forgotten, met again and new ones get the same ids."""
+    import pyarrow as pa
+
+    from tallyrill.llm.common import WordIds
+
+    def work(words):
+        import numpy as np
+
+        found = [[ord(c) for c in w] for w in words.to_pylist()]
+        return np.array(sum(found, []), np.int32), np.cumsum([0, *map(len, found)])
+
+    r, ids = random.Random(5), WordIds(work, 20)
+    for _ in range(40):
+        lists = [["".join(r.choice("abc") for _ in range(r.randint(0, 4))) for _ in range(r.randint(0, 9))] for _ in range(r.randint(0, 4))]
+        flat, ends = ids.encode(pa.array(lists, pa.list_(pa.string())))
+        assert [[chr(x) for x in flat[a:b]] for a, b in zip(ends, ends[1:])] == [list("".join(x)) for x in lists]
