@@ -12,16 +12,23 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The names of up to so many files (some 100 bytes each) are collected and broadcast.
+FILES = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``,
-    or a temporary folder of this machine where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    Where that is unset, a local session (tests) gets a temporary folder; on a
+    cluster it is an error, as executors would not see such a folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_tallyrill_folder", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tallyrill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark.sparkContext._tallyrill_folder = "file://" + tempfile.mkdtemp(prefix="tallyrill-")
     return found.rstrip("/")
 
 
@@ -37,10 +44,38 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows are whole texts here: fewer at a time than Spark takes of narrow rows.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4096")}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts. Where the session has Spark's defaults, its readers
+    take smaller batches from here on."""
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(docs: DataFrame, name: str = "__key") -> DataFrame:
+    """``docs`` and a column ``name``: a whole number of its own for each row,
+    the number of its file and its place in that, so it is the same whenever and
+    wherever the row is read. Rows that come from no Parquet files, or from more
+    than ``FILES`` of them, are written first."""
+    try:
+        of_file = docs.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).select("f").distinct()
+    except AnalysisException:
+        return keyed(stage(docs, "rows"), name)
+    files = sorted(r[0] for r in of_file.limit(FILES + 1).collect())
+    if len(files) > FILES:
+        return stage(docs.withColumn(name, F.monotonically_increasing_id()), "keyed")
+    spark = docs.sparkSession
+    numbers = spark.createDataFrame(list(zip(files, range(len(files)))) or [("", 0)], "__file string, __number long")
+    rows = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    rows = rows.join(F.broadcast(numbers), "__file")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.shiftleft("__number", 40).bitwiseOR(F.col("__place")).alias(name))
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python workers, once an application."""
     context = spark.sparkContext

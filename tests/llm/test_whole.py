@@ -133,3 +133,51 @@ def test_word_ids_generations():
         lists = [["".join(r.choice("abc") for _ in range(r.randint(0, 4))) for _ in range(r.randint(0, 9))] for _ in range(r.randint(0, 4))]
         flat, ends = ids.encode(pa.array(lists, pa.list_(pa.string())))
         assert [[chr(x) for x in flat[a:b]] for a, b in zip(ends, ends[1:])] == [list("".join(x)) for x in lists]
+
+
+def test_exact_dedup_rerun(spark, tmp_path):
+    """A batch taken again under its name, and an index opened again by its path, give the same."""
+    path = f"file://{tmp_path}/index"
+    idx = exact_dedup.DigestIndex(spark, "t_rerun", 4, path)
+    df = spark.createDataFrame([(1, "a  b", "", "", 0), (2, "ab", "", "", 0), (3, "c", "", "", 0), (4, "a b", "", "", 0), (None, None, "", "", 0)], DOCS)
+    say = lambda d, i, b: sorted(((r["id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.report(d, i, batch=b).collect()))
+    once = say(df, idx, "one")
+    assert once == [(0, None, 1, True), (1, 1, 3, True), (2, 1, 3, False), (3, 3, 1, True), (4, 1, 3, False)]
+    assert say(df, idx, "one") == once and idx.read().count() == 3
+    idx.drop()
+    again = exact_dedup.DigestIndex(spark, "t_again", 4, path)
+    assert [x[3] for x in say(df, again, "two")] == [False] * 5 and say(df, again, "one") == once
+    plan = again.unseen(spark.range(2).selectExpr("cast(id as string) digest", "id keep_id", "1L n"), "x")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [digest" in plan and plan.count("Exchange") == 1
+    again.drop()
+
+
+def test_row_keys(spark, tmp_path):
+    """A key of its own for each row, the same whenever it is read."""
+    from tallyrill.llm import common
+
+    df = spark.createDataFrame([(k % 3, None if k % 5 == 0 else "t", "", "", 0) for k in range(40)], DOCS).repartition(7)
+    df.write.parquet(f"{tmp_path}/rows")
+    read = common.keyed(spark.read.parquet(f"{tmp_path}/rows"))
+    keys = sorted(r["__key"] for r in read.collect())
+    assert len(set(keys)) == 40 and sorted(r["__key"] for r in read.repartition(3).collect()) == keys
+    assert read.columns == [*df.columns, "__key"]
+    assert len({r["__key"] for r in common.keyed(df).collect()}) == 40
+    assert common.keyed(spark.read.parquet(f"{tmp_path}/rows").limit(0)).count() == 0
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty tables and other columns in all stages."""
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    spark.createDataFrame([(1, None, "", "", 0), (None, "", "", "", 0), (2, "x " * 40, "", "", 0)], DOCS).selectExpr("*", "1 AS digest", "'k' AS key", "3 AS score").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, d)
+        assert out.columns == docs.columns, name
+        assert step(spark, docs.limit(0), d).count() == 0, name
+    got = corpus_pipeline.run(spark, d)
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, ""), (2, "x " * 40)]
