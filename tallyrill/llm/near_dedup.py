@@ -40,6 +40,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import ranges, ship, small, stage, table
 
@@ -47,9 +48,11 @@ SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 5, 25
 COORDS = ROWS * BANDS
 DARTS = COORDS * np.log(COORDS) + 2 * COORDS
-CACHE = 400_000
+CACHE = 200_000
 #: Members and cells of one side of a block, about.
 BLOCK, BLOCK_CELLS = 512, 1 << 20
+#: Up to so many ids of candidates (8 bytes each) are broadcast; beyond that all texts are shuffled.
+BROADCAST_ROWS = 1_000_000
 U = np.uint64
 
 
@@ -177,23 +180,36 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, root`` of all ``id`` of nodes, given edges ``a, b``; the root is
-    the least id of the component. Each round every node takes the least root
-    among its neighbours, roots hook onto lesser roots, and pointers jump."""
-    both = stage(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    touched = both.select(F.col("a").alias("id")).distinct()
-    roots = stage(touched.withColumn("root", F.col("id")), "roots")
+    the least id of the component."""
+    return _joined(nodes.select("id", F.col("id").alias("root")), edges)
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (``id, root``) with the components that ``links`` tie made one.
+
+    The links become edges between roots. Each round every root takes the least
+    one among its neighbours, roots hook onto lesser roots, and pointers jump.
+    What a round needs more than once is kept on the executors and made again if
+    they are lost; each round's result is written."""
+    root_of = lambda c: found.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    edges = links.select("a", "b").join(root_of("a"), "a").join(root_of("b"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    both = stage(edges.union(edges.select("b", "a")).distinct(), "edges")
+    roots = both.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct()
     while True:
         near = both.join(roots.select(F.col("id").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        step = stage(roots.join(near, roots["id"] == near["a"], "left").select("id", "root", F.least("root", F.coalesce("r", "root")).alias("low")), "hooks")
-        hook = step.groupBy(F.col("root").alias("of")).agg(F.min("low").alias("to")).where("to < of")
+        step = roots.join(near, roots["id"] == near["a"], "left").select("id", "root", F.least("root", F.coalesce("r", "root")).alias("low")).persist()
+        hook = step.groupBy(F.col("root").alias("of")).agg(F.min("low").alias("to")).where("to < of").persist()
         if hook.limit(1).count() == 0:
             break
         # A node's root is replaced by the least root seen from its tree, then by that one's own.
-        hook = stage(hook, "hook")
         jump = hook.join(hook.select(F.col("of").alias("to"), F.col("to").alias("further")), "to", "left").select("of", F.coalesce("further", "to").alias("to"))
-        jump = stage(jump, "jump")
         roots = stage(step.join(jump, step["root"] == jump["of"], "left").select("id", F.least("low", F.coalesce("to", "low")).alias("root")), "roots")
-    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+        step.unpersist()
+        hook.unpersist()
+    step.unpersist()
+    hook.unpersist()
+    up = roots.select(F.col("id").alias("root"), F.col("root").alias("top"))
+    return stage(found.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "components")
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -237,17 +253,17 @@ def _compare(block: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
 
-def _settled(banded: DataFrame, ends: DataFrame, reps: DataFrame, found: DataFrame, bags: DataFrame) -> DataFrame | None:
+def _settled(met: DataFrame, lone: DataFrame, found: DataFrame, bags: DataFrame) -> DataFrame | None:
     """The links ``a, b`` between components among members of a bucket that are
     not its ends; None where no bucket has such members."""
-    inner = banded.join(ends, "key").where("id <> first AND id <> last").select("key", "id")
-    inner = inner.join(found, "id").join(reps.select("id", "n"), "id")
+    inner = met.where("id <> first AND id <> last").select("key", "id")
+    inner = inner.join(found, "id").join(lone.select("id", "n"), "id")
     groups = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_CELLS)).cast("int").alias("groups")
     loose = inner.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), groups).where("low < high").select("key", "groups")
     dealt = stage(inner.join(loose, "key").select("key", "id", "root", "groups", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("g")), "loose")
     if dealt.limit(1).count() == 0:
         return None
-    whole = dealt.join(bags, "id").join(reps.select("id", "keys"), "id")
+    whole = dealt.join(bags, "id").join(lone.select("id", "keys"), "id")
     sides = whole.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     sides = sides.select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "id", "root", "cells", "keys")
     return stage(sides.groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long"), "links")
@@ -256,37 +272,40 @@ def _settled(banded: DataFrame, ends: DataFrame, reps: DataFrame, found: DataFra
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, class_size, kept``: a row for each distinct id."""
     ship(docs.sparkSession)
+    if not isinstance(docs.select(id_col).schema[0].dataType, IntegralType):
+        raise TypeError(f"{id_col} is no whole number")
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = stage(text.mapInArrow(_sketch, "id long, n long, s1 long, s2 long, keys array<long>"), "sketches")
-    # One row for each id, and representatives of equal multisets.
-    full = rows.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("n", "s1", "s2", "keys"), F.struct("n", "s1", "s2")).alias("x"))
-    full = stage(full.select("id", "x.*"), "longest")
+    # One text for each id, and one id for each multiset, with its keys.
+    known = rows.where("n > 0 AND id IS NOT NULL")
+    full = stage(known.groupBy("id").agg(F.max(F.struct("n", "s1", "s2")).alias("x")).select("id", "x.*"), "longest")
     reps = stage(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "representatives")
-    member = stage(full.join(reps, ["s1", "s2", "n"]).select("id", "n", "rep", "keys"), "members")
-    # Buckets of representatives, and their pairs.
-    lone = member.where("id = rep").select("id", "n", "keys")
+    member = stage(full.join(reps, ["s1", "s2", "n"]).select("id", "rep"), "members")
+    lone = known.join(reps.withColumnRenamed("rep", "id"), ["id", "s1", "s2", "n"]).select("id", "n", "keys")
+    lone = stage(lone.dropDuplicates(["id"]), "signatures")
+    # Buckets of representatives that hold two or more, and their pairs.
     banded = lone.select("id", F.explode("keys").alias("key"))
-    ends = stage(banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"), "buckets")
-    paired = banded.join(ends, "key").select("id", F.explode(F.array("first", "last")).alias("with")).where("id <> with")
+    ends = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    met = stage(banded.join(ends, "key"), "buckets")
+    paired = met.select("id", F.explode(F.array("first", "last")).alias("with")).where("id <> with")
     pairs = stage(paired.select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")), "pairs")
     some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # Whole texts meet their ids packed, by one plan at every size of the input.
-    packed = text.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_pack, "id long, packed binary")
+    # Whole texts of candidates go packed to where their ids are. Few ids are met by broadcast, before that.
+    some = stage(some, "candidates")
+    wanted = text.join(F.broadcast(some), "id", "left_semi") if some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else text
+    packed = wanted.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_pack, "id long, packed binary")
     bags = stage(packed.join(some.hint("merge"), "id").mapInArrow(_cells, "id long, cells array<long>, s1 long, s2 long").groupBy("id").agg(F.max_by("cells", F.struct(F.size("cells"), "s1", "s2")).alias("cells")), "bags")
-    nodes = member.select(F.col("rep").alias("id")).distinct()
     # The pair of most bands of each later document first, then what still parts components.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")
-    links = stage(_verified(best, bags), "links")
-    found = stage(components(nodes, links), "components")
+    found = components(lone, _verified(best, bags))
     apart = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
     more = stage(_verified(apart, bags), "links")
     if more.limit(1).count():
-        links = links.union(more)
-        found = stage(components(nodes, links), "components")
+        found = _joined(found, more)
     # Then what the ends of the buckets do not settle.
-    inside = _settled(banded, ends, lone, found, bags)
+    inside = _settled(met, lone, found, bags)
     if inside is not None and inside.limit(1).count():
-        found = stage(components(nodes, links.union(inside)), "components")
+        found = _joined(found, inside)
     named = member.select("id", "rep").join(found.select(F.col("id").alias("rep"), "root"), "rep").select("id", F.col("root").alias("class_id"))
     sizes = stage(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"), F.min("id").alias("least")), "sizes")
     named = named.join(sizes, "class_id").select("id", F.col("least").alias("class_id"), "class_size")

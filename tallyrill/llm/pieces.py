@@ -40,9 +40,9 @@ from .common import WordIds, ranges, ship, small, table
 MARK = "▁"
 #: Stands for a mark of the text itself; no word has two line breaks.
 OWN = "\n\n"
-CACHE = 300_000
+CACHE = 200_000
 #: Texts are encoded in batches of up to so many bytes and rows.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 1024
 WORD = re.compile(r"▁*[^▁\n]+|\n|▁+")
 
 
@@ -192,6 +192,22 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(work, f"doc_id {kind}, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one worker: ``doc_id, ids, text`` of each row."""
+    ship(docs.sparkSession)
+    kind = dict(docs.select(id_col).dtypes)[id_col]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = pieces(model)
+        for b in small(batches, 1, BATCH_BYTES, BATCH_ROWS):
+            flat, ends = code.encode_batch(b.column(1).to_pylist())
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(code.decode_batch(flat, ends), pa.string())], ["doc_id", "ids", "text"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(work, f"doc_id {kind}, ids array<int>, text string")
+
+
 def digest(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, n_pieces, ids_crc32, decoded_sha256`` of each row: crc32 is of
     the ids as little-endian unsigned 32-bit integers, sha256 of the text that

@@ -148,6 +148,20 @@ def score(docs: DataFrame, model: PuModel | None) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, f"doc_id {kind}, score double")
 
 
+def accepted(docs: DataFrame, model: PuModel | None, least: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, all columns as they
+    are; judged as they are read, without a shuffle."""
+    ship(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(text_col).to_pylist()]
+            s = model.score(np.array([features(t) for t in texts])) if model and texts else np.full(len(texts), 0.5)
+            yield b.filter(pa.array(s >= least))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
