@@ -5,10 +5,21 @@ columns of ``documents``, the last one the ids of the pieces of each text and
 the text that they decode to. Between stages ``run`` writes the rows to the
 shared folder and reads them again.
 
-Each row is judged by itself: a stage gives every row a key of its own and
-decides by it, so rows that repeat an id or have a null one neither stay nor go
-together. Of equal or near-equal texts the least id stays, null ids last; of
-rows equal in id and text one."""
+Each row is judged by itself: where a stage decides by more than the row's own
+text, each row has a key of its own (its file and place), so rows that repeat an
+id or have a null one neither stay nor go together. Whole rows are not shuffled
+to be filtered: only the keys of those that go meet them.
+
+Defined results
+  * a null text counts as empty; its row stays or goes like any other text;
+  * of equal texts the longest stays, then the least id, null ids last, then the
+    first row; of a class of near-duplicates the least id, in the same order;
+  * a benchmark window in a row drops that row alone;
+  * all but the last stage return all columns of ``documents``, others too; names
+    that begin with two underscores are the pipeline's own;
+  * without labels every row scores 0.5 and passes; without a benchmark nothing is
+    contaminated; empty documents give an empty result.
+"""
 
 from __future__ import annotations
 
@@ -18,54 +29,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrill.llm import decontaminate, exact_dedup, near_dedup, pieces, quality
-from tallyrill.llm.common import stage, table
+from tallyrill.llm.common import keyed, stage, table
 
+#: The order in which one row of a group is picked.
+PLACE = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__key").alias("key"))
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` and ``__key``, a number of its own for each row, in the order of
-    ids (null ones last), hashes of texts, and repeats. Written once, so that
-    the keys hold for all that reads them."""
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("__row")]
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    return stage(rows.drop("__row").withColumn("__key", F.monotonically_increasing_id()), "keyed")
 
-
-def _only(keyed: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` whose key is in the one column of ``keys``."""
-    return keyed.join(keys.toDF("__key"), "__key", "left_semi").drop("__key")
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` less those whose key is in the one column of ``gone``."""
+    return rows.join(stage(gone.toDF("__key"), "gone"), "__key", "left_anti").drop("__key")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents below the threshold of quality go."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    keyed = _keyed(docs)
-    return _only(keyed, quality.score(keyed.withColumn("doc_id", F.col("__key")), model).where(F.col("score") >= quality.THRESHOLD).select("doc_id"))
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of equal texts one stays."""
-    return exact_dedup.DigestIndex(spark, f"pipeline_index_{uuid.uuid4().hex}").dedup(_keyed(docs), "__key").drop("__key")
+    index = exact_dedup.DigestIndex(spark, f"pipeline_index_{uuid.uuid4().hex}")
+    kept = index.dedup(keyed(docs).withColumn("__place", PLACE), "__place").drop("__key", "__place")
+    index.drop()  # the rows that go are known by now
+    return kept
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each class of near-duplicates the least id stays."""
-    keyed = _keyed(docs)
-    return _only(keyed, near_dedup.near_duplicates(keyed, "__key").where("kept").select("doc_id"))
+    rows = keyed(docs)
+    classes = near_dedup.near_duplicates(rows, "__key").where("class_size > 1").select(F.col("doc_id").alias("__key"), "class_id")
+    twins = stage(classes.join(rows.select("__key", "doc_id"), "__key"), "twins")
+    best = twins.groupBy("class_id").agg(F.min(PLACE).alias("best"))
+    return _without(rows, twins.join(best, "class_id").where("__key <> best.key").select("__key"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents with a benchmark window go."""
-    keyed = _keyed(docs)
-    found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), "__key")
-    return _only(keyed, found.where("NOT contaminated").select("doc_id"))
+    rows = keyed(docs)
+    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), "__key")
+    return _without(rows, found.where("contaminated").select("doc_id"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: ``doc_id``, the ids of the pieces, and the decoded text."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.decode(pieces.encode(docs, path), path)
+    return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
