@@ -8,17 +8,22 @@ the corpus. The suffixes to compare are first dealt out so that equal ones meet:
     windows of one anchor are neighbours and form a block: a row (hash of the
     anchor's gram, hash of the block, where).
 2.  Grams that occur once are done: nothing in their blocks repeats. Blocks that
-    occur more than once, byte for byte, are repeats as a whole. What is left are
-    single blocks beside others of the same gram, at the edges of repeats.
+    occur more than once, by their 128-bit BLAKE2 digest, are repeats as a whole.
+    What is left are single blocks beside others of the same gram, at the edges
+    of repeats.
 3.  The texts of these blocks meet by gram. There the suffixes are sorted by
     mergesort; two of them are compared by binary search over prefix polynomial
     hashes for the length of their common start, and by the byte after it.
     Neighbours with 200 bytes in common are compared byte by byte (collisions)
     and are repeats.
 
-Where over ``GROUP`` blocks share a gram (a hot group of near copies), their
-windows do not meet in one task: they are counted by 128 bits of polynomial hash,
-combined before the shuffle.
+No task sorts more than ``GROUP`` blocks of one key. Where more of them share a
+gram, the windows are parted by their distance to the anchor, the near half and
+the far half. All windows of one half share the bytes between the start of the
+last and the end of the first of them, so equal windows agree in these, and
+blocks cut to that half meet by the digest of these bytes instead of the gram.
+Step 2 is repeated on them, then step 3, and halves with too many blocks are
+halved again. After eight turns a half is one window, whose bytes are its key.
 
 Memory is bounded by pieces of ``PIECE`` bytes, whatever the length of a text.
 
@@ -33,6 +38,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +51,18 @@ from .common import ship, stage, table
 from .near_dedup import mix
 
 LENGTH, GRAM = 200, 32
-PIECE, GROUP, SORT_BYTES = 1 << 20, 20_000, 1 << 20
+PIECE, GROUP, SORT_BYTES = 1 << 20, 2000, 1 << 20
+#: The distances of a window's anchor to its start.
+FAR = LENGTH - GRAM
 U = np.uint64
-#: Odd bases of the polynomial hashes modulo 2**64.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: An odd base of the polynomial hashes modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
 
 
 class Hashes:
     """Prefix polynomial hashes of a buffer: any substring's hash in two steps."""
 
-    def __init__(self, data: np.ndarray, base: int = BASES[0]):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         n = len(data) + 1
         power = np.full(n, U(base), U)
         power[0] = 1
@@ -73,11 +82,12 @@ mix_bytes = mix(np.arange(1, 257, dtype=U) * U(0xFF51AFD7ED558CCD))
 
 
 def anchors(data: np.ndarray, begin: int) -> tuple[np.ndarray, ...]:
-    """Of one text or piece: gram hash, block hash, first and last start of each
-    anchor's windows, and the anchor, counted from ``begin``."""
+    """Of one text or piece: gram hash, the two halves of the block's digest,
+    first and last start of each anchor's windows, and the anchor, counted from
+    ``begin``."""
     n = len(data) - LENGTH + 1
     if n < 1:
-        return tuple(np.zeros(0, t) for t in (U, U, np.int32, np.int32, np.int32))
+        return tuple(np.zeros(0, t) for t in (U, U, U, np.int32, np.int32, np.int32))
     h = Hashes(data)
     grams = mix(h.of(np.arange(len(data) - GRAM + 1), GRAM))
     least = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U)  # ties go to the left
@@ -90,8 +100,14 @@ def anchors(data: np.ndarray, begin: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:] - 1, [n - 1]])
     at = at[first]
-    block = mix(h.of(first, last - first + LENGTH) ^ mix((at - first).astype(U) * U(1 << 20) + (last - first).astype(U)))
-    return grams[at], block, *((x + begin).astype(np.int32) for x in (first, last, at))
+    digest = digests(memoryview(data), first.tolist(), (last + LENGTH).tolist())
+    return grams[at], digest[:, 0], digest[:, 1], *((x + begin).astype(np.int32) for x in (first, last, at))
+
+
+def digests(data: memoryview, first: list[int], end: list[int]) -> np.ndarray:
+    """(parts, 2) halves of the digests of parts of ``data``."""
+    found = b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(first, end)])
+    return np.frombuffer(found, U).reshape(-1, 2)
 
 
 def _bytes_of(column: pa.Array) -> list[np.ndarray]:
@@ -99,7 +115,7 @@ def _bytes_of(column: pa.Array) -> list[np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["rid", "gram", "block", "first", "last", "at"]
+    names = ["r1", "r2", "gram", "b1", "b2", "first", "last", "at"]
 
     def made(rows: list) -> pa.RecordBatch:
         cols = [np.concatenate(c) for c in zip(*rows)]
@@ -107,10 +123,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         rows, held = [], 0
-        for rid, data in zip(b.column(0).to_pylist(), _bytes_of(b.column(1))):
+        for r1, r2, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _bytes_of(b.column(2))):
             for a in range(0, max(len(data) - LENGTH + 1, 0), PIECE):
                 got = anchors(data[a : a + PIECE + LENGTH - 1], a)
-                rows.append((np.full(len(got[0]), rid, np.int64), *got))
+                rows.append((np.full(len(got[0]), r1, np.int64), np.full(len(got[0]), r2, np.int64), *got))
                 held += len(got[0])
                 if held > 50_000:
                     yield made(rows)
@@ -197,58 +213,72 @@ def _spans(hit: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, rid, first, anchor, text) sorted by gram; whole groups at a time."""
-    grams: list[int] = []
-    rids: list[int] = []
-    firsts: list[int] = []
-    places: list[int] = []
-    texts: list[bytes] = []
-    held = 0
+    """Rows as ``_cut`` gives them, sorted by their key; whole groups at a time."""
+    held: list[tuple] = []
+    size = 0
 
     def work() -> pa.RecordBatch:
+        k1, k2, _, _, r1, r2, first, at, text = zip(*held)
+        of = {k: i for i, k in enumerate(dict.fromkeys(zip(k1, k2)))}
         out: list[tuple] = []
-        for rid, first, hit in zip(rids, firsts, repeated(texts, grams, places)):
-            a, b = _spans(hit, first)
-            out += [(rid, int(x), int(y)) for x, y in zip(a, b)]
-        cols = list(zip(*out)) if out else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "a", "b"])
+        for x, y, begin, hit in zip(r1, r2, first, repeated(text, [of[k] for k in zip(k1, k2)], [a - f for a, f in zip(at, first)])):
+            out += [(x, y, int(a), int(b)) for a, b in zip(*_spans(hit, begin))]
+        return _spans_of(out)
 
     for batch in batches:
-        for gram, rid, first, place, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if held > SORT_BYTES and gram != grams[-1]:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if size > SORT_BYTES and row[:2] != held[-1][:2]:
                 yield work()
-                grams, rids, firsts, places, texts, held = [], [], [], [], [], 0
-            grams.append(gram)
-            rids.append(rid)
-            firsts.append(first)
-            places.append(place)
-            texts.append(text)
-            held += len(text)
-    if texts:
+                held, size = [], 0
+            held.append(row)
+            size += len(row[-1])
+    if held:
         yield work()
 
 
+def _spans_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], ["r1", "r2", "a", "b"])
+
+
+#: Blocks with their texts: key, range of distances, row, first window, anchor, text.
+BLOCKS = "k1 long, k2 long, lo int, hi int, r1 long, r2 long, first long, at long"
+KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
+
+
+def _blocks_of(rows: list[tuple], digest: bool = False) -> pa.RecordBatch:
+    kinds = [*KINDS, *[pa.int64()] * (2 * digest), pa.binary()]
+    names = [x.split()[0] for x in BLOCKS.split(", ")] + ["b1", "b2"] * digest + ["text"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of blocks: (gram, rid, first, place of the anchor in the text, text)."""
+    """Texts of blocks; the key is the gram."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        for rid, packed, parts in zip(*(c.to_pylist() for c in batch.columns)):
+        for r1, r2, packed, parts in zip(*(c.to_pylist() for c in batch.columns)):
             text = unpack.decompress(packed)
-            rows = [(p["gram"], rid, p["first"], p["at"] - p["first"], text[p["first"] : p["last"] + LENGTH]) for p in parts]
+            rows = [(p["gram"], 0, 0, FAR, r1, r2, p["first"], p["at"], text[p["first"] : p["last"] + LENGTH]) for p in parts]
             for a in range(0, len(rows), 5000):
-                cols = list(zip(*rows[a : a + 5000]))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["gram", "rid", "first", "place", "text"])
+                yield _blocks_of(rows[a : a + 5000])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all windows of block texts: (x, y, rid, start)."""
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks cut to either half of their range of distances, with digests."""
     for batch in batches:
-        for gram, rid, first, text in zip(*(c.to_pylist() for c in batch.columns)):
-            data = np.frombuffer(text, np.uint8)
-            n = len(data) - LENGTH + 1
-            at = np.arange(n)
-            cols = [*(Hashes(data, base).of(at, LENGTH).view(np.int64) for base in BASES), np.full(n, rid, np.int64), at + first]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["x", "y", "rid", "start"])
+        out: list[tuple] = []
+        for _, _, lo, hi, r1, r2, first, at, text in zip(*(c.to_pylist() for c in batch.columns)):
+            last, mid = first + len(text) - LENGTH, (lo + hi) // 2
+            for near, far in ((lo, mid), (mid + 1, hi)):
+                a, b = max(first, at - far), min(last, at - near)
+                if near > far or a > b:
+                    continue
+                shared = text[at - near - first : at - far + LENGTH - first]  # by all windows of this half
+                key = np.frombuffer(blake2b(shared, digest_size=16, salt=bytes([near, far])).digest(), np.int64).tolist()
+                part = text[a - first : b + LENGTH - first]
+                digest = np.frombuffer(blake2b(part, digest_size=16).digest(), np.int64).tolist()
+                out.append((*key, near, far, r1, r2, a, at, *digest, part))
+        for a in range(0, len(out), 5000):
+            yield _blocks_of(out[a : a + 5000], True)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,33 +288,42 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeat_spans(rows: DataFrame) -> DataFrame:
-    """``rid, a, b``: bytes to remove, as spans that may overlap, of rows
-    ``rid, data`` (``data`` binary)."""
-    found = stage(rows.mapInArrow(_anchor_rows, "rid long, gram long, block long, first int, last int, at int"), "anchors")
-    live = stage(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("n > 1").select("gram", (F.col("lo") == F.col("hi")).alias("alike")), "grams")
+    """``r1, r2, a, b``: bytes to remove, as spans that may overlap, of rows
+    ``r1, r2, data`` (two hashes that name a row, ``data`` binary)."""
+    found = stage(rows.mapInArrow(_anchor_rows, "r1 long, r2 long, gram long, b1 long, b2 long, first int, last int, at int"), "anchors")
+    same = (F.min("b1") == F.max("b1")) & (F.min("b2") == F.max("b2"))
+    live = stage(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), same.alias("alike")).where("n > 1").select("gram", "alike"), "grams")
     beside = stage(found.join(live, "gram"), "live-anchors")
-    span = lambda df: df.select("rid", F.col("first").cast("long").alias("a"), (F.col("last") + LENGTH).cast("long").alias("b"))
+    span = lambda df: df.select("r1", "r2", F.col("first").cast("long").alias("a"), (F.col("last") + LENGTH).cast("long").alias("b"))
     mixed = beside.where("NOT alike").drop("alike")
-    blocks = mixed.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "last", "at")).alias("one"))
+    blocks = mixed.groupBy("gram", "b1", "b2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r1", "r2", "first", "last", "at")).alias("one"))
     blocks = stage(blocks, "blocks")
-    again = mixed.join(blocks.where("n > 1").select("gram", "block"), ["gram", "block"])
+    again = mixed.join(blocks.where("n > 1").select("gram", "b1", "b2"), ["gram", "b1", "b2"])
     # One of each different block goes on, with its text.
-    crowd = stage(blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("blocks")).where(F.col("blocks") > GROUP), "hot-grams")
-    each = blocks.select("gram", "one.rid", "one.first", "one.last", "one.at")
-    parts = each.groupBy("rid").agg(F.collect_list(F.struct("gram", "first", "last", "at")).alias("parts"))  # bounded by the text's length
-    texts = rows.mapInArrow(_packed, "rid long, data binary").groupBy("rid").agg(F.first("data").alias("data"))
-    cut = stage(texts.join(parts, "rid").select("rid", "data", "parts").mapInArrow(_cut, "gram long, rid long, first long, place long, text binary"), "block-texts")
-    few = cut.join(crowd, "gram", "left_anti").select("gram", "rid", "first", "place", "text")
-    sorted_ = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups, "rid long, a long, b long")
-    hot = cut.join(crowd, "gram", "left_semi").select("gram", "rid", "first", "text")
-    windows = stage(hot.repartition(_parts(rows)).mapInArrow(_windows, "x long, y long, rid long, start long"), "hot-windows")
-    twice = stage(windows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y"), "hot-repeats")
-    counted = windows.join(twice, ["x", "y"]).select("rid", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b"))
-    return span(beside.where("alike")).unionByName(span(again)).unionByName(sorted_).unionByName(counted)
-
-
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = blocks.select("gram", "one.*")
+    parts = each.groupBy("r1", "r2").agg(F.collect_list(F.struct("gram", "first", "last", "at")).alias("parts"))  # bounded by the text's length
+    texts = rows.mapInArrow(_packed, "r1 long, r2 long, data binary").groupBy("r1", "r2").agg(F.first("data").alias("data"))
+    cut = stage(texts.join(parts, ["r1", "r2"]).select("r1", "r2", "data", "parts").mapInArrow(_cut, f"{BLOCKS}, text binary"), "block-texts")
+    return _settled(cut, [span(beside.where("alike")), span(again)])
+
+
+def _settled(cut: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """The spans of ``done`` and those of different blocks, as ``_cut`` gives them."""
+    key, columns = ["k1", "k2"], cut.columns
+    while True:
+        crowd = stage(cut.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select(key), "crowds")
+        few = cut.join(crowd, key, "left_anti").select(columns)
+        done.append(few.repartition(*key).sortWithinPartitions(*key).mapInArrow(_sorted_groups, "r1 long, r2 long, a long, b long"))
+        if crowd.limit(1).count() == 0:
+            break
+        many = cut.join(crowd, key, "left_semi").select(columns)
+        half = stage(many.mapInArrow(_halved, f"{BLOCKS}, b1 long, b2 long, text binary"), "halves")
+        seen = stage(half.groupBy(*key, "b1", "b2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*columns)).alias("one")), "half-blocks")
+        again = half.join(seen.where("n > 1").select(*key, "b1", "b2"), [*key, "b1", "b2"])
+        done.append(again.select("r1", "r2", F.col("first").alias("a"), (F.col("first") + F.length("text")).alias("b")))
+        beside = seen.groupBy(key).agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select(key)
+        cut = stage(seen.select("one.*").join(beside, key).select(columns), "half-texts")
+    return reduce(DataFrame.unionByName, done)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,10 +353,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(docs.sparkSession)
     kind = dict(docs.select(id_col).dtypes)[id_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("rid"), F.col(id_col).alias("doc_id"), text.cast("binary").alias("data"))
-    spans = repeat_spans(rows.select("rid", "data")).groupBy("rid").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))  # bounded by the text's length
-    packed = rows.mapInArrow(_packed, f"rid long, doc_id {kind}, data binary")
-    return packed.join(spans, "rid", "left").select("doc_id", "data", "a", "b").mapInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # Rows of one id and text have one name, and lose the same spans.
+    names = F.xxhash64(F.col(id_col), text).alias("r1"), F.xxhash64(text, F.lit(1), F.col(id_col)).alias("r2")
+    rows = docs.select(*names, F.col(id_col).alias("doc_id"), text.cast("binary").alias("data"))
+    spans = repeat_spans(rows.select("r1", "r2", "data")).groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("s"))  # bounded by the text's length
+    packed = rows.mapInArrow(_packed, f"r1 long, r2 long, doc_id {kind}, data binary")
+    return packed.join(spans, ["r1", "r2"], "left").select("doc_id", "data", "s.a", "s.b").mapInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,3 +181,33 @@ def test_pipeline_edges(spark, tmp_path):
         assert step(spark, docs.limit(0), d).count() == 0, name
     got = corpus_pipeline.run(spark, d)
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, ""), (2, "x " * 40)]
+
+
+def test_repeats_collisions(monkeypatch):
+    """Windows whose hashes agree but whose bytes differ are no repeats."""
+    import numpy as np
+
+    from tallyrill.llm import repeats
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcd") for _ in range(260)).encode() for _ in range(6)]
+    monkeypatch.setattr(repeats.Hashes, "of", lambda self, start, length: np.zeros(np.shape(start), np.uint64))
+    assert not any(hit.any() for hit in repeats.repeated(texts, [0] * 6, [30] * 6))
+
+
+def test_repeats_hot_gram(spark, monkeypatch):
+    """Many different surroundings of one passage: sorted in small groups, with the same result."""
+    from tallyrill.llm import repeats
+
+    r = random.Random(9)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passages = [noise(120), noise(260)]
+    texts = [noise(r.randint(0, 300)) + r.choice(passages) + noise(r.randint(0, 300)) for _ in range(60)] + [noise(250)] * 2 + [None]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    want = [len({k for i in range(len(b) - 199) if seen[b[i : i + 200]] > 1 for k in range(i, i + 200)}) for b in raw]
+    for group in (2000, 5):
+        monkeypatch.setattr(repeats, "GROUP", group)
+        got = {x["doc_id"]: x["n_removed"] for x in repeats.remove_repeats(df).collect()}
+        assert got == dict(enumerate(want)) and sum(want)
