@@ -2,24 +2,32 @@
 
 A page is read into a tree whose leaves are blocks: runs of inline text between
 block-level tags. Each block passes points for its length and its commas to its
-container and, by half, to the container above. A container's points are
-discounted by its link density; the best container is the article, and siblings
-that have points of the same order, or are long blocks of plain text, are kept
-with it. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are known by tag, role, or words of class and id, and
-neither score nor appear.
+container, by half to the container above, and by a quarter to the next; tags
+and names that tell of articles add points. A container's points are discounted
+by its link density, and the best container wins. Where it is only a part (the
+container around it is an article or main, or holds half as many points again,
+in text that is not mostly links) the one around it takes its place. Siblings
+with a fifth of its points, and long plain blocks and headings beside it, are
+kept with it; within it, parts that are mostly links go. Menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments are known
+by tag, role, or words of class and id, and neither score nor appear.
+
+Time grows with the length of the page alone: each character is read once, and
+sums go from children to parents once.
 
 Defined results: null or empty html gives an empty text; html without tags is one
 block; text of pages without any container that scores is all that is not menu
 or markup; each row is read for itself; other columns are not looked at; an
-empty table gives an empty result. Unclosed and stray tags are tolerated; there
-is no bound on length or depth.
+empty table gives an empty result. Unclosed and stray tags are tolerated; a tag
+that never ends takes the rest of the page with it; there is no bound on length
+or depth.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,34 +36,54 @@ from pyspark.sql import functions as F
 
 from .common import ship, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+NAME = re.compile(r"[\s/]*([^\s/>=]?[^\s/>=]*)\s*(=?)\s*")
+BARE = re.compile(r"[^\s>]*")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 BLOCKS = set("html body div article section main aside nav header footer p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption form fieldset address details summary dialog center hgroup head menu".split())
-#: A tag that opens closes these, up to the nearest container.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": set()}
-UNWANTED = {"nav", "footer", "aside", "form", "button", "head", "dialog", "menu", "label", "canvas", "audio", "video"}
+INLINE_UNWANTED = {"button", "label", "canvas", "audio", "video"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: A tag that opens closes these, if one of them is the innermost, in turn.
+CLOSES = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["td", "th", "tr"], "td": ["td", "th"], "th": ["td", "th"]}
+UNWANTED = {"nav", "footer", "aside", "form", "head", "dialog", "menu"} | INLINE_UNWANTED
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|replies|disqus|cookies?|consent|gdpr|notice|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|popup|modal|widget|toolbar|pagination|pager|skip|copyright|legal)(?=$|[\s_-])", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
 
 
+LEAVES = {"p", "li", "td", "th", "pre", "dt", "dd", "blockquote", "figcaption", "caption", "summary", "tr", "ul", "ol", "table", "tbody", "thead", "dl", "figure", "address"} | HEADINGS
+TOPS = {"#", "html", "body"}
+
+
 class Node:
-    __slots__ = ("tag", "up", "bad", "points", "chars", "linked", "good")
+    """``container``: the node itself, or the nearest above that is no leaf tag;
+    ``whole``, ``chars``, ``linked``, ``links``: points, characters, characters
+    in links and links of all blocks below, the node's own included."""
 
-    def __init__(self, tag: str, up: "Node | None", bad: bool, good: float = 0.0):
+    __slots__ = ("tag", "up", "bad", "within", "good", "container", "points", "scored", "whole", "chars", "linked", "links", "keep")
+
+    def __init__(self, tag: str, up: "Node | None", bad: bool = False, good: float = 0.0):
         self.tag, self.up, self.bad, self.good = tag, up, bad, good
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        self.within = tag in ("article", "main") or up is not None and up.within
+        self.container = self if tag not in LEAVES or up is None else up.container
+        self.points, self.scored, self.whole = 0.0, False, 0.0
+        self.chars = self.linked = self.links = 0
+        self.keep: bool | None = None
+
+    def value(self) -> float:
+        return self.points * (1 - density(self))
 
 
-def unwanted(tag: str, attrs: str, stack: list[Node]) -> tuple[bool, float]:
+def density(node: Node) -> float:
+    return node.linked / node.chars if node.chars else 0.0
+
+
+def unwanted(tag: str, attrs: list[tuple[str, str]], up: Node) -> tuple[bool, float]:
     """Whether a subtree is no main text, and what its names add to its points."""
-    within = any(n.tag in ("article", "main") for n in stack)
-    bad = tag in UNWANTED or tag in RAW or (tag == "header" and not within)
+    bad = tag in UNWANTED or (tag == "header" and not up.within)
     good = 25.0 if tag in ("article", "main") else 0.0
-    for m in ATTRIBUTE.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+    for name, value in attrs:
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             bad |= bool(NOISE.search(value)) and not GOOD.search(value)
             good += 15.0 * bool(GOOD.search(value))
@@ -66,139 +94,207 @@ def unwanted(tag: str, attrs: str, stack: list[Node]) -> tuple[bool, float]:
     return bad, good
 
 
-def blocks_of(page: str) -> list[tuple[Node, str]]:
-    """Blocks in page order, each with its node; counts of text and links are
-    added to the nodes above it."""
-    root = Node("#", None, False)
-    stack, out, parts, links = [root], [], [], 0
-    anchor = 0
-
-    def flush() -> None:
-        nonlocal parts, links
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+class Reader:
+    """Reads a page into ``nodes`` (parents before children) and ``blocks``."""
+
+    def __init__(self, page: str):
+        self.page = page
+        root = Node("#", None)
+        self.stack, self.nodes, self.blocks = [root], [root], []
+        self.open: Counter[str] = Counter()
+        #: Unwanted inline elements: node, how many of its tag are open in it, and the text before it in its block.
+        self.inside: dict[str, list[list]] = {}
+        self.parts: list[str] = []
+        self.linked = self.links = 0
+        self.anchor = False
+        self.ended: set[str] = set()  # quotes that the rest of the page lacks
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(entities.unescape("".join(self.parts)).split())
             if text:
-                node = stack[-1]
-                out.append((node, text))
-                up: Node | None = node
-                while up:
-                    up.chars += len(text)
-                    up.linked += min(links, len(text))
-                    up = up.up
-        parts, links = [], 0
-
-    def pop(k: int) -> None:
-        flush()
-        del stack[k:]
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        if m[4] == "<" and re.match(r"[a-zA-Z/!?]", page[at : at + 1]):  # a tag that never ends
-            at = page.find("<", at) if page.find("<", at) >= 0 else n
-            continue
-        if m[4] is not None:
-            parts.append(m[4])
-            if anchor:
-                links += len(m[4].strip())
-            continue
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if tag in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
-            continue
-        if tag == "br" or tag == "hr" or tag == "wbr":
-            parts.append(" " if tag != "wbr" else "")
-            continue
+                node = self.stack[-1]
+                self.blocks.append((node, text))
+                node.chars += len(text)
+                node.linked += min(self.linked, len(text))
+                node.links += self.links
+        self.parts, self.linked, self.links = [], 0, 0
+
+    def push(self, node: Node) -> None:
+        self.flush()
+        self.stack.append(node)
+        self.nodes.append(node)
+        self.open[node.tag] += 1
+
+    def pop_to(self, tag: str) -> None:
+        """Close up to the innermost ``tag``, if one is open."""
+        while self.open[tag]:
+            self.flush()
+            node = self.stack.pop()
+            self.open[node.tag] -= 1
+            held = self.inside.get(node.tag)
+            if held and held[-1][0] is node:
+                self.parts, self.linked, self.links = held.pop()[2]
+            if node.tag == tag:
+                return
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+        """Attributes from ``at``, whether the tag closes itself, and where the
+        tag ends (-1: never)."""
+        page, found, n = self.page, [], len(self.page)
+        while True:
+            m = NAME.match(page, at)
+            at = m.end()
+            if not m[1] and not m[2]:
+                if at >= n:
+                    return found, False, -1
+                return found, page[at - 1] == "/", at + 1  # at ">"
+            value, quote = "", page[at : at + 1]
+            if m[2]:
+                end = page.find(quote, at + 1) if quote in ("'", '"') and quote and quote not in self.ended else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    self.ended |= {quote} & {"'", '"'}
+                    v = BARE.match(page, at)
+                    value, at = v[0], v.end()
+            if len(found) < 1000:
+                found.append((m[1].lower(), value))
+
+    def read(self) -> "Reader":
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            lt = page.find("<", at)
+            if lt != at:
+                lt = n if lt < 0 else lt
+                self.text(page[at:lt])
+                at = lt
+                continue
+            m = TAG.match(page, at)
+            if m is None:
+                if page.startswith("<!--", at):
+                    end = page.find("-->", at + 4)
+                    at = n if end < 0 else end + 3
+                elif page[at + 1 : at + 2] in ("!", "?", "/"):
+                    end = page.find(">", at)
+                    at = n if end < 0 else end + 1
+                else:
+                    self.text("<")
+                    at += 1
+                continue
+            tag, closing = m[1].lower(), page[at + 1] == "/"
+            attrs, empty, at = self.attributes(m.end())
+            if at < 0:
+                break
+            if closing:
+                self.end(tag)
+            elif tag in RAW:
+                if not empty:
+                    end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+                    at = n if end is None else page.find(">", end.end()) + 1 or n
+            else:
+                self.start(tag, attrs, empty)
+        while len(self.stack) > 1:
+            self.pop_to(self.stack[-1].tag)
+        self.flush()
+        return self
+
+    def text(self, text: str) -> None:
+        self.parts.append(text)
+        if self.anchor:
+            self.linked += len(text.strip())
+
+    def start(self, tag: str, attrs: list[tuple[str, str]], empty: bool) -> None:
+        top = self.stack[-1]
         if tag in VOID:
-            continue
+            if tag in ("br", "hr"):
+                self.parts.append(" ")
+        elif tag in BLOCKS or tag in UNWANTED and tag not in INLINE_UNWANTED:
+            self.flush()
+            for closed in (["p"] if tag in BLOCKS else []) + CLOSES.get(tag, []):
+                if self.stack[-1].tag == closed:
+                    self.pop_to(closed)
+            top = self.stack[-1]
+            bad, good = unwanted(tag, attrs, top)
+            if not empty:
+                self.push(Node(tag, top, top.bad or bad, good))
+                self.anchor = False
+        else:
+            if tag == "a":
+                self.anchor = True
+                self.links += 1
+            if self.inside.get(tag):
+                self.inside[tag][-1][1] += 1
+            elif (attrs or tag in UNWANTED) and not empty and unwanted(tag, attrs, top)[0]:
+                before = self.parts, self.linked, self.links
+                self.parts, self.linked, self.links = [], 0, 0
+                self.push(Node(tag, top, True))
+                self.inside.setdefault(tag, []).append([self.stack[-1], 1, before])
+
+    def end(self, tag: str) -> None:
         if tag == "a":
-            anchor = 0 if m[1] else 1
-        if tag not in BLOCKS and tag not in UNWANTED:
-            if not m[1] and ATTRIBUTE.search(m[3]) and unwanted(tag, m[3], stack)[0]:  # an unwanted inline element
-                flush()
-                stack.append(Node(tag, stack[-1], True))
-            elif m[1] and stack[-1].tag == tag:
-                pop(len(stack) - 1)
-            continue
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop(k)
-                    break
-            continue
-        flush()
-        if tag in BLOCKS and stack[-1].tag == "p":
-            pop(len(stack) - 1)
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES[tag]:
-                    pop(k)
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "div", "article", "section", "body"):
-                    break
-        bad, good = unwanted(tag, m[3], stack)
-        if not m[3].endswith("/"):
-            stack.append(Node(tag, stack[-1], stack[-1].bad or bad, good))
-            anchor = 0
-    flush()
-    return out
-
-
-LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "pre", "dt", "dd", "blockquote", "figcaption", "caption", "summary", "tr", "ul", "ol", "table", "tbody", "thead", "dl", "figure", "address"}
-
-
-def container(node: Node) -> Node:
-    while node.tag in LEAVES and node.up:
-        node = node.up
-    return node
-
-
-def density(node: Node) -> float:
-    return node.linked / node.chars if node.chars else 0.0
+            self.anchor = False
+        held = self.inside.get(tag)
+        if held:
+            held[-1][1] -= 1
+            if not held[-1][1]:
+                self.pop_to(tag)
+        elif tag in ("br", "p") and not self.open[tag]:
+            self.flush() if tag == "p" else self.parts.append(" ")
+        elif tag in BLOCKS or tag in UNWANTED:
+            self.pop_to(tag)
 
 
 def extract(page: str) -> str:
     """The main text of a page."""
-    found = [(node, text) for node, text in blocks_of(page) if not node.bad]
+    read = Reader(page).read()
+    found = [(node, text) for node, text in read.blocks if not node.bad]
     if not found:
         return ""
-    scored: dict[int, Node] = {}
     for node, text in found:
-        if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if node.tag in HEADINGS:
             continue
-        points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
-        top, share = container(node), 1.0
-        while top and top.up and share > 0.2:
-            if id(top) not in scored:
-                scored[id(top)] = top
-                top.points += top.good
+        points = 1 + text.count(",") + text.count("\uff0c") + min(len(text) / 100, 3)
+        node.whole += points
+        top, share = node.container, 1.0
+        while top.up and share > 0.2:
             top.points += points * share
-            top, share = container(top.up), share / 2
+            top.scored = True
+            top, share = top.up.container, share / 2
+    scored = [x for x in read.nodes if x.scored]
     if not scored:
         return "\n\n".join(text for _, text in found)
-    best = max(scored.values(), key=lambda x: x.points * (1 - density(x)))
-    up = best
-    while up:  # within an article, the article is the container
-        if up.tag in ("article", "main"):
-            best = up
-        up = up.up
-    least = max(10.0, 0.2 * best.points * (1 - density(best)))
+    for x in reversed(read.nodes):  # children before parents
+        if x.scored:
+            x.points += x.good
+        if x.up and not x.bad:
+            x.up.whole += x.whole
+            x.up.chars += x.chars
+            x.up.linked += x.linked
+            x.up.links += x.links
+    best = max(scored, key=Node.value)
+    while best.up.container.tag not in TOPS:
+        up = best.up.container
+        chars, linked = up.chars - best.chars, up.linked - best.linked
+        part = up.tag in ("article", "main") or up.whole >= 1.5 * best.whole
+        if not part or chars and linked > 0.5 * chars:
+            break
+        best = up
+    least = 0.2 * best.value()
+    for x in read.nodes:  # parents before children
+        if x is best:
+            x.keep = True
+        elif x.up is not None and x.up.keep is not None:
+            x.keep = x.up.keep and not (x.links > 2 and density(x) > 0.5)
+        elif x.up is best.up and x.tag not in TOPS and x.tag not in LEAVES and not x.bad:
+            x.keep = x.scored and x.value() >= least
+    beside = best.up
 
     def kept(node: Node, text: str) -> bool:
-        at: Node | None = node
-        while at:
-            if at is best:
-                return True
-            if at.up is best.up and at is not node and at.tag not in ("html", "body"):
-                return id(at) in scored and at.points * (1 - density(at)) >= least
-            at = at.up
-        beside = container(node) is best.up or node is best.up
-        return beside and (len(text) > 80 and density(node) < 0.25 or node.tag in ("h1", "h2"))
+        if node.keep is not None:
+            return node.keep
+        near = node is beside or node.up is beside or node.container is beside
+        return near and (len(text) > 80 and density(node) < 0.25 or node.tag in ("h1", "h2"))
 
     return "\n\n".join(text for node, text in found if kept(node, text))
 
