@@ -3,9 +3,10 @@ r"""Operator 1: benchmark decontamination by winnowing.
 Texts become words (A-Z lower-cased, runs of letters, digits and all non-ASCII
 characters). Of each window of ``WINDOW`` = 10 consecutive words the least hash
 of its six ``GRAM`` = 5 word grams is a fingerprint. Two equal windows have the
-same least hash, so each span of ten or more shared words gives a shared
-fingerprint. Documents' fingerprints are joined with those of the benchmark;
-each match is then extended: words of document and item are compared around it,
+same least hash at the same place, the leftmost one, so each span of ten or more
+shared words gives a shared fingerprint, and its places tell how the texts lie to
+each other. Documents' fingerprints are joined with those of the benchmark; each
+match is then extended: words of document and item are compared around it,
 and only windows that are equal word by word count.
 
 An item of 1 to 9 words is a window of its own length; its fingerprint is the
@@ -58,6 +59,15 @@ def minima(n: Column, g: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.array_min(F.slice(g, i, WINDOW - GRAM + 1))))
 
 
+def minima_at(n: Column, g: Column) -> Column:
+    """The leftmost least hash of each such run, with its place from 1, without
+    repetition. Equal windows pick theirs at one place in the window."""
+    placed = F.transform(g, lambda x, i: F.struct(x.alias("fp"), (i + 1).alias("at")))
+    runs = F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1)))
+    least = lambda p: F.array_distinct(F.transform(runs, lambda i: F.array_min(F.slice(p, i, WINDOW - GRAM + 1))["at"]))
+    return let(placed, lambda p: F.transform(least(p), lambda i: F.element_at(p, i)))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once for each row: a plain
     column would be inlined into the lambdas and computed at each step."""
@@ -78,7 +88,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         "benchmark",
     )
     # Fingerprints of the benchmark: (hash, size of its gram, text, position from 1).
-    long_fp = bench.where(F.col("m") >= WINDOW).select("text_id", "m", F.posexplode(grams(F.col("m"), F.col("iw"), GRAM)).alias("p", "fp")).select("fp", F.lit(GRAM).alias("size"), "text_id", (F.col("p") + 1).alias("ipos"))
+    long_fp = (
+        bench.where(F.col("m") >= WINDOW).select("text_id", F.explode(minima_at(F.col("m"), grams(F.col("m"), F.col("iw"), GRAM))).alias("x"))
+        .select("x.fp", F.lit(GRAM).alias("size"), "text_id", F.col("x.at").alias("ipos"))
+    )
     short_fp = bench.where(F.col("m") < WINDOW).select(F.xxhash64("iw").alias("fp"), (F.col("m") + 100).alias("size"), "text_id", F.lit(1).alias("ipos"))
     fps = stage(long_fp.unionByName(short_fp), "benchmark-fingerprints")
     kinds = [(r["size"], r["size"] - 100 if r["size"] > 100 else GRAM) for r in fps.select("size").distinct().collect()]  # ten at most
@@ -106,15 +119,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     some = seen.where("known = 1").select("doc_id")
     few = _few(some)
 
-    # The texts of candidates alone are read again, all their grams are met with the benchmark's, and matches extended.
+    # The texts of candidates alone are read again, their fingerprints are met with the benchmark's by place, and matches extended.
     own = F.col("doc_id").eqNullSafe(F.col("__id"))
     picked = some.withColumnRenamed("doc_id", "__id")
     near = text.join(F.broadcast(picked) if few else picked, own, "left_semi")
     near = stage(near.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w")).withColumn("n_words", F.size("w")), "candidates")
     n, w = F.col("n_words"), F.col("w")
 
-
     def placed(size: int, length: int) -> Column:
+        if size == GRAM:
+            found = F.transform(minima_at(n, grams(n, w, GRAM)), lambda x: F.struct(x["fp"].alias("fp"), F.lit(size).alias("size"), x["at"].alias("dpos")))
+            return F.when(n >= WINDOW, found).otherwise(F.expr("cast(array() as array<struct<fp:bigint,size:int,dpos:int>>)"))
         return F.transform(grams(n, w, length), lambda x, i: F.struct(x.alias("fp"), F.lit(size).alias("size"), (i + 1).alias("dpos")))
 
     at = [placed(*k) for k in kinds]
