@@ -6,8 +6,9 @@ Three base kinds by pattern (assign, access, hex), and spans of kind
 (hex digits, letters and digits, base64) the Shannon entropy of the window is
 kept up to date by counts: a character enters, one leaves, and two terms of
 ``sum(c log c)`` change. Windows at or above the class's bound that mix letters
-and digits join into a span. Allow-listed spans are dropped: UUIDs, words in
-one case with few digits, paths, counting runs. Base spans always stay.
+and digits join into a span. Runs and spans that the allow-list knows as a whole
+are dropped: UUIDs, words and short numbers between separators, short patterns
+over and over, counting strings. Base spans always stay.
 
 Defined results: a null text counts as empty (no spans); each row is looked at
 for itself, so repeated rows give repeated results; offsets are code points, end
@@ -38,12 +39,11 @@ KINDS = ("assign", "access", "hex", "entropy")
 WIDTH = 20
 #: Least entropy in bits a character of a window of WIDTH, by class.
 CLASSES = (("hex", frozenset("0123456789abcdefABCDEF"), 3.0), ("alnum", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 3.6), ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 3.8))
-ALLOW = (
-    re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z]?[a-z]*(?:[-_/=+][A-Za-z]?[a-z]*|[-_/=+]\d{1,4})*\d{0,4}"),
-    re.compile(r"(.{1,4})\1{4,}.*"),
-    re.compile(r".*(?:0123456789|abcdefghij|ABCDEFGHIJ).*"),
-)
+UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+SEPARATOR, WORDY, LAST = re.compile(r"[-_/=+]"), re.compile(r"[A-Za-z]?[a-z]*|\d{1,4}"), re.compile(r"[A-Za-z]?[a-z]*\d{0,4}|\d{1,8}")
+PERIODIC = re.compile(r"(.{1,4})\1{4,}.{0,3}")
+#: Of a counting string, so many of the steps from one character to the next are by one.
+COUNTING = 0.8
 TERM = [0.0] + [c * math.log2(c) for c in range(1, WIDTH + 2)]  # one more while a character enters
 
 
@@ -80,7 +80,14 @@ def entropy_windows(run: str, letters: frozenset, least: float) -> list[tuple[in
 
 
 def allowed(text: str) -> bool:
-    return any(p.fullmatch(text) for p in ALLOW)
+    """Whether ``text`` as a whole is a UUID, words and short numbers between
+    separators, a short pattern over and over, or counts up. Linear in its length."""
+    if UUID.fullmatch(text) or PERIODIC.fullmatch(text):
+        return True
+    *parts, last = SEPARATOR.split(text)
+    if LAST.fullmatch(last) and all(WORDY.fullmatch(p) for p in parts):
+        return True
+    return sum(ord(b) - ord(a) == 1 for a, b in zip(text, text[1:])) >= COUNTING * max(len(text) - 1, 1)
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
