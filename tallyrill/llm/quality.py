@@ -8,8 +8,11 @@ minimises the non-negative unbiased risk
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])
 
 with logistic loss; where the second part falls below zero its gradient is
-turned round. The class prior is estimated as the share of quality 1 among the
-labels that may be learnt from.
+turned round. The class prior is estimated from positives and unlabelled text
+alone: a first model is fitted without a quarter of the positives and half of the
+unlabelled rows, and over all scores the least ratio of the share of held-back
+unlabelled rows at or above it to the share of held-back positives there bounds
+the prior (with a confidence bound, whose level is a parameter). Labels of 0 are not used.
 
 The fit is on a bounded sample: ``POSITIVES`` labelled and ``UNLABELLED`` other
 rows, those with the least hashes of their ids, of which only feature vectors
@@ -60,6 +63,24 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def risk(par: list[np.ndarray], xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple:
+    """Both parts of the risk, that of positives and that of negatives, and
+    their gradients by the parameters."""
+
+    def grads(x, d, h):
+        dh = np.outer(d, par[2]) * (1 - h * h)
+        return [x.T @ dh, dh.sum(0), h.T @ d, np.array([d.sum()])]
+
+    hp, hu = np.tanh(xp @ par[0] + par[1]), np.tanh(xu @ par[0] + par[1])
+    gp, gu = hp @ par[2] + par[3], hu @ par[2] + par[3]
+    sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
+    positive = prior * np.logaddexp(0, -gp).mean()
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    up = grads(xp, -prior * (1 - sp) / len(xp), hp)
+    down = [a + b for a, b in zip(grads(xu, su / len(xu), hu), grads(xp, -prior * sp / len(xp), hp))]
+    return positive, negative, up, down
+
+
 class PuModel:
     """One hidden layer; fitted with Adam on the non-negative risk."""
 
@@ -74,10 +95,6 @@ class PuModel:
         par = [rng.normal(0, 1 / math.sqrt(p.shape[1]), (p.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1)]
         m1, m2, t = [np.zeros_like(x) for x in par], [np.zeros_like(x) for x in par], 0
 
-        def grads(x, d, h):
-            dh = np.outer(d, par[2]) * (1 - h * h)
-            return [x.T @ dh, dh.sum(0), h.T @ d, np.array([d.sum()])]
-
         for _ in range(epochs):
             steps = max(1, len(u) // 512)
             pp, uu = np.array_split(rng.permutation(len(p)), steps), np.array_split(rng.permutation(len(u)), steps)
@@ -85,12 +102,7 @@ class PuModel:
                 if not len(ip):
                     continue
                 xp, xu = p[ip], u[iu]
-                hp, hu = np.tanh(xp @ par[0] + par[1]), np.tanh(xu @ par[0] + par[1])
-                gp, gu = hp @ par[2] + par[3], hu @ par[2] + par[3]
-                sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-                negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-                up = grads(xp, -prior * (1 - sp) / len(ip), hp)
-                down = [a + b for a, b in zip(grads(xu, su / len(iu), hu), grads(xp, -prior * sp / len(ip), hp))]
+                positive, negative, up, down = risk(par, xp, xu, prior)
                 g = [-x for x in down] if negative < 0 else [a + b for a, b in zip(up, down)]
                 t += 1
                 for k, x in enumerate(g):
@@ -118,20 +130,37 @@ def _featured(df: DataFrame, keep: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> PuModel | None:
     """A model from rows that are not held out; None without positives."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
+    kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     text = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     free = labels.select(F.col("doc_id").alias("id"), "quality").where(~held_out(F.col("id"), modulus, remainder) & F.col("quality").isNotNull())
-    prior = free.agg(F.avg("quality")).first()[0]
     least = lambda df, seed, n: df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
     pos = least(free.where("quality = 1").select("id").distinct(), 1, POSITIVES).withColumn("kind", F.lit(1))
-    unl = least(text.select("id").where(~held_out(F.col("id"), modulus, remainder) & F.col("id").isNotNull()), 2, UNLABELLED).withColumn("kind", F.lit(0))
+    unl = least(text.select("id").where(~held_out(F.col("id"), modulus, remainder) & F.col("id").isNotNull()).distinct(), 2, UNLABELLED).withColumn("kind", F.lit(0))
     sample = stage(pos.unionByName(unl), "sample")  # POSITIVES + UNLABELLED rows at most
-    got = _featured(text.join(F.broadcast(sample), "id").select("kind", "text"), "kind int").limit(2 * (POSITIVES + UNLABELLED)).collect()
+    # One row for each id and kind, in one order: the model does not depend on partitions.
+    got = _featured(text.join(F.broadcast(sample), "id").select("id", "kind", "text"), f"id {kind}, kind int")
+    got = sorted(got.groupBy("kind", "id").agg(F.min("f").alias("f")).collect(), key=lambda r: (r["kind"], r["id"]))
     x = {k: np.array([r["f"] for r in got if r["kind"] == k]) for k in (0, 1)}
-    if prior is None or not len(x[0]) or not len(x[1]):
+    if not len(x[0]) or not len(x[1]):
         return None
-    return PuModel.fit(x[1], x[0], min(max(prior, 0.02), 0.98))
+    return PuModel.fit(x[1], x[0], prior_of(x[1], x[0]))
+
+
+def prior_of(pos: np.ndarray, unl: np.ndarray, doubt: float = 0.1) -> float:
+    """The class prior of ``unl``, given positives: the best bound over all
+    thresholds on scores of a model that has not seen the rows it is taken on, a
+    quarter of ``pos`` and a half of ``unl``."""
+    held, half = np.arange(len(pos)) % 4 == 0, np.arange(len(unl)) % 2 == 0
+    if held.all() or half.all():
+        return 0.5
+    model = PuModel.fit(pos[~held], unl[~half], 0.5, epochs=20)
+    p, u = np.sort(model.score(pos[held])), np.sort(model.score(unl[half]))
+    share_p = 1 - np.arange(len(p)) / len(p)  # at or above each score of p
+    share_u = 1 - np.searchsorted(u, p) / len(u)
+    wide = sum(math.sqrt(math.log(4 / doubt) / (2 * len(x))) for x in (u, p))
+    k = int(np.argmin((share_u + wide) / share_p))
+    return float(min(max(share_u[k] / share_p[k], 0.02), 0.98))
 
 
 def score(docs: DataFrame, model: PuModel | None) -> DataFrame:
