@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,12 @@ class Record:
     data: DataFrame | None = None
     order: str | None = None
 
+    @property
+    def places(self) -> dict[str, str]:
+        """The names of the record's columns in ``data``: of a namespace of their
+        own, so that no column's name means anything to the engine."""
+        return {c.name: f"__f{i}" for i, c in enumerate(self.columns)}
+
 
 @dataclass
 class Aggregate:
@@ -40,6 +47,24 @@ class Aggregate:
     query: Query
 
 
+@dataclass
+class WindowRule:
+    """A window aggregate over a record's data."""
+
+    window: Window
+    ts: str
+    lag_ms: int
+    fields: dict[str, SparkColumn]
+    key: str | None
+
+    def result(self, rows: DataFrame) -> DataFrame:
+        return time_window.aggregated(rows, self.window, F.col("__pass"), self.fields, self.key)
+
+
+#: The engine's own output columns, by mode: name in the plan, name in the result.
+PLACES = {"snapshot": [("__row", "row_no")], "trace": [("__arrival", "arrival_seq"), ("__row", "row_no")]}
+
+
 @dataclass
 class _Scope:
     """The rows of a rule, to which lookups may join dimensions."""
@@ -84,15 +109,21 @@ class Engine:
         """Arrivals of a record, in the order of the unique whole-number column
         ``order``. Columns are cast; what is missing or null is 0."""
         rec = self._record(name)
-        have = {c.lower(): c for c in df.columns}
+        rec.data, rec.order = self._cast(rec, df, order), "__seq"
+
+    @staticmethod
+    def _cast(rec: Record, df: DataFrame, order: str) -> DataFrame:
+        at = {c: f"__s{i}" for i, c in enumerate(df.columns)}  # by place: names may differ by case alone
+        have = {c.lower(): n for c, n in at.items()} | at
         if order not in df.columns:
             raise RuleError(f"no order column {order}")
         cast = []
         for c in rec.columns:
             kind = "double" if c.kind == DOUBLE else "long"
-            found = F.col(f"`{have[c.name.lower()]}`").cast(kind) if c.name.lower() in have else F.lit(0).cast(kind)
-            cast.append(F.coalesce(found, F.lit(0).cast(kind)).alias(c.name))
-        rec.data, rec.order = df.select(*cast, F.col(f"`{order}`").cast("long").alias("__seq")), "__seq"
+            named = have.get(c.name, have.get(c.name.lower()))
+            found = F.col(named).cast(kind) if named else F.lit(0).cast(kind)
+            cast.append(F.coalesce(found, F.lit(0).cast(kind)).alias(rec.places[c.name]))
+        return df.toDF(*at.values()).select(*cast, F.col(at[order]).cast("long").alias("__seq"))
 
     def def_dimension(self, base: DataFrame | None = None) -> int:
         """A lookup table, empty or over the columns ``key, value`` of ``base``."""
@@ -128,38 +159,40 @@ class Engine:
     def mapper(self, sql: str, mode: str = "snapshot") -> DataFrame:
         """Rows that a rule selects: ``row_no`` and its fields; with mode trace
         also ``arrival_seq``, the arrival after which."""
-        rec, query, limit = self._rule(sql)
-        scope = _Scope(self._data(rec))
-        binder = self._binder(rec, scope)
-        where, named = binder.where(query.where), binder.named(query)
-        rows = self._selected(rec, scope, where, limit, mode)
-        return rows.select(*self._places(mode), *[c.alias(n) for n, c, _ in named])
+        rows, named = self._ruled(sql, mode)
+        self._distinct([n for n, _, _ in named], [n for _, n in PLACES[mode]])
+        return rows.select(*[F.col(c).alias(n) for c, n in PLACES[mode]], *[c.alias(n) for n, c, _ in named])
 
     def deliveries(self, sql: str) -> DataFrame:
         """``arrival_seq, size`` of every arrival: how many rows a rule delivers,
         0 included."""
-        rec, query, limit = self._rule(sql)
-        scope = _Scope(self._data(rec))
-        where = self._binder(rec, scope).where(query.where)
-        sizes = self._selected(rec, scope, where, limit, "trace").groupBy("arrival_seq").agg(F.count(F.lit(1)).alias("size"))
-        every = rec.data.select(F.col("__seq").alias("arrival_seq"))
-        return every.join(sizes, "arrival_seq", "left").select("arrival_seq", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+        return self.deliveries_of({"size": sql})
+
+    def deliveries_of(self, rules: dict[str, str]) -> DataFrame:
+        """``arrival_seq`` and a column of sizes for each of several rules over
+        one record, by name, in one pass."""
+        found = [self._rule(sql) for sql in rules.values()]
+        if len({rec.name for rec, _, _ in found}) != 1:
+            raise RuleError("rules over one record")
+        rec, scope = found[0][0], _Scope(self._data(found[0][0]))
+        wheres = [(self._binder(rec, scope).where(query.where), limit) for _, query, limit in found]
+        out = count_window.sizes(scope.df, rec.order, wheres, self.config.window_rows, self.config.chunk_rows)
+        return out.select(F.col("__arrival").alias("arrival_seq"), *[F.col(f"__size_{i}").alias(n) for i, n in enumerate(rules)])
 
     def bind_aggregate(self, sql: str, aggregate: int, mode: str = "snapshot") -> DataFrame:
         """An aggregate over what a rule delivers: one row, or one an arrival that
         delivers any. Columns are matched by name; first and last go by delivery."""
         if not 1 <= aggregate <= len(self.aggregates):
             raise RuleError(f"no aggregate {aggregate}")
-        agg = self.aggregates[aggregate - 1]
-        rec, query, limit = self._rule(sql)
-        scope = _Scope(self._data(rec))
-        binder = self._binder(rec, scope)
-        where, named = binder.where(query.where), binder.named(query)
-        rows = self._selected(rec, scope, where, limit, mode).select(*self._places(mode), *[c.alias(n) for n, c, _ in named])
-        kinds = {n: k for n, _, k in named}
-        fields = self._fields(agg.query, kinds, F.col("row_no"), None, newest_first=False)
-        cols = [c.alias(n) for n, c in fields.items()]
-        return rows.groupBy("arrival_seq").agg(*cols) if mode == "trace" else rows.agg(*cols)
+        rows, named = self._ruled(sql, mode)
+        rows = rows.select(*[c for c, _ in PLACES[mode]], *[c.alias(f"__o{i}") for i, (_, c, _) in enumerate(named)])
+        kinds = {n: (f"__o{i}", k) for i, (n, _, k) in enumerate(named)}
+        fields = self._fields(self.aggregates[aggregate - 1].query, kinds, F.col("__row"), None, newest_first=False)
+        if mode != "trace":
+            return rows.agg(*[c.alias(n) for n, c in fields.items()])
+        self._distinct(list(fields), ["arrival_seq"])
+        out = rows.groupBy("__arrival").agg(*[c.alias(f"__a{i}") for i, c in enumerate(fields.values())])
+        return out.select(F.col("__arrival").alias("arrival_seq"), *[F.col(f"__a{i}").alias(n) for i, n in enumerate(fields)])
 
     def window_aggregate(self, sql: str, window: Window, ts_field: str | None = None, lag_ms: int = 0, arrival_ms: str | None = None) -> DataFrame:
         """One row a time window: ``window_start_ms, window_end_ms``, the fields
@@ -197,28 +230,32 @@ class Engine:
             entries = d.literal(self.config.map_literal_keys)
             if entries is not None:
                 return lookup_literal(entries, key)
-            frame, scope.joins = d.frame(), scope.joins + 1
-            small = frame.limit(self.config.broadcast_keys + 1).count() <= self.config.broadcast_keys
-            scope.df, has, value = lookup_join(scope.df, frame, key, f"__d{scope.joins}", small)
+            scope.joins += 1
+            scope.df, has, value = lookup_join(scope.df, d.frame(), key, f"__d{scope.joins}")
             return has, value
 
-        return Binder(rec.name, rec.columns, lookup)
+        return Binder(rec.name, rec.columns, lookup, rec.places)
 
-    def _selected(self, rec: Record, scope: _Scope, where: SparkColumn, limit: int, mode: str) -> DataFrame:
-        if mode == "trace":
-            return count_window.trace(scope.df, rec.order, where, limit, self.config.window_rows, self.config.chunk_rows)
-        if mode != "snapshot":
+    def _ruled(self, sql: str, mode: str) -> tuple[DataFrame, list[tuple[str, SparkColumn, str]]]:
+        """The rows that a rule selects, with its output columns (name, Column, type)."""
+        rec, query, limit = self._rule(sql)
+        if mode not in PLACES:
             raise RuleError(f"mode {mode}: snapshot or trace")
-        rows = count_window.snapshot(scope.df, rec.order, where, limit, self.config.window_rows)
-        # window_rows rows at most: their places are numbered in one task
-        from pyspark.sql import Window as W
-
-        way = F.col(rec.order).desc() if limit >= 0 else F.col(rec.order).asc()
-        return rows.withColumn("row_no", (F.row_number().over(W.orderBy(way)) - 1).cast("long"))
+        rows, order, most = self._data(rec), rec.order, self.config.window_rows
+        # Lookups meet the latest rows alone, where these are all that counts.
+        scope = _Scope(count_window.latest(rows, order, most) if mode == "snapshot" else rows)
+        binder = self._binder(rec, scope)
+        where, named = binder.where(query.where), binder.named(query)
+        if mode == "snapshot":
+            return count_window.snapshot(scope.df, order, where, limit), named
+        return count_window.trace(scope.df, order, where, limit, most, self.config.chunk_rows), named
 
     @staticmethod
-    def _places(mode: str) -> list[SparkColumn]:
-        return [F.col("arrival_seq"), F.col("row_no")] if mode == "trace" else [F.col("row_no")]
+    def _distinct(names: list[str], own: list[str]) -> None:
+        """Output columns may not bear the names of the engine's own."""
+        for n in names:
+            if n.lower() in own:
+                raise RuleError(f"two output columns named {n}; use AS")
 
     @staticmethod
     def _aggregate_call(e, columns: set[str], record: str) -> tuple[str, str] | None:
@@ -234,7 +271,7 @@ class Engine:
             raise RuleError(f"no column {name.name} in {record}")
         return e.name, name.name
 
-    def _fields(self, query: Query, kinds: dict[str, str], order: SparkColumn, when: SparkColumn | None, newest_first: bool) -> dict[str, SparkColumn]:
+    def _fields(self, query: Query, kinds: dict[str, tuple[str, str]], order: SparkColumn, when: SparkColumn | None, newest_first: bool) -> dict[str, SparkColumn]:
         out: dict[str, SparkColumn] = {}
         for k, item in enumerate(query.items):
             found = self._aggregate_call(item.expr, set(kinds), query.record)
@@ -245,24 +282,35 @@ class Engine:
                 v = item.expr.value
                 out[name] = F.max(F.lit(v).cast("double" if isinstance(v, float) else "long"))
             else:
-                out[name] = build(found[0], F.col(f"`{found[1]}`"), kinds[found[1]], order, when, newest_first)
+                place, kind = kinds[found[1]]
+                out[name] = build(found[0], F.col(f"`{place}`"), kind, order, when, newest_first)
         return out
 
     def _windowed(self, sql: str, window: Window, ts: str | None, lag_ms: int, key: str | None) -> DataFrame:
+        rec, df, spec = self._window_rule(sql, window, ts, key, lag_ms)
+        rows = time_window.assigned(df(self._data(rec)), window, spec.ts, lag_ms, rec.order, self.config.chunk_rows)
+        return spec.result(rows)
+
+    def _window_rule(self, sql: str, window: Window, ts: str | None, key: str | None, lag_ms: int) -> tuple[Record, Callable, WindowRule]:
+        """A rule's record, what makes its rows of the record's data (lookups and
+        the condition ``__pass``), and the aggregate over rows in their windows."""
         rec, query, _ = self._rule(sql)
         bounds(window)
-        kinds = {c.name: c.kind for c in rec.columns}
+        kinds = {c.name: (rec.places[c.name], c.kind) for c in rec.columns}
         for name in (ts, key):
             if name is not None and name not in kinds:
                 raise RuleError(f"no column {name} in {rec.name}")
-        if ts is None or kinds[ts] != LONG:
+        if ts is None or kinds[ts][1] != LONG:
             raise RuleError("event time is a whole-number column of milliseconds")
-        scope = _Scope(self._data(rec))
-        where = self._binder(rec, scope).where(query.where)
-        df = scope.df.withColumn("__pass", where)
-        rows = time_window.assigned(df, window, ts, lag_ms, rec.order, self.config.chunk_rows)
-        fields = self._fields(query, kinds, F.col(rec.order), F.col("__pass") if key is None else None, False)
-        return time_window.aggregated(rows, window, F.col("__pass"), fields, key)
+        fields = self._fields(query, kinds, F.col("__seq"), F.col("__pass") if key is None else None, False)
+        self._distinct(list(fields), ["window_start_ms", "window_end_ms", "size" if key is None else "key"])
+
+        def passed(data: DataFrame) -> DataFrame:
+            scope = _Scope(data)
+            where = self._binder(rec, scope).where(query.where)
+            return scope.df.withColumn("__pass", where).select(*data.columns, "__pass")
+
+        return rec, passed, WindowRule(window, kinds[ts][0], lag_ms, fields, key and kinds[key][0])
 
     def kind_of(self, aggregate: str) -> str:
         return result_kind(aggregate)

@@ -26,7 +26,7 @@ class Dimension:
         if self.base is None:
             return now
         base = self.base.select(F.col("key").cast("long"), F.col("value").cast("long")).groupBy("key").agg(F.max("value").alias("value"))
-        return (base.join(F.broadcast(over.select("key")), "key", "left_anti") if self.written else base).unionByName(now)
+        return (base.join(over.select("key"), "key", "left_anti") if self.written else base).unionByName(now)
 
     def literal(self, most: int) -> dict[int, int] | None:
         """All entries, if they were all written one by one and are few."""
@@ -43,8 +43,8 @@ def lookup_literal(entries: dict[int, int], key: Column) -> tuple[Column, Column
     return value.isNotNull().cast("long"), F.coalesce(value, F.lit(0).cast("long"))
 
 
-def lookup_join(df: DataFrame, dim: DataFrame, key: Column, name: str, small: bool) -> tuple[DataFrame, Column, Column]:
-    """The same by a left join; ``small``: the table's size has been checked."""
+def lookup_join(df: DataFrame, dim: DataFrame, key: Column, name: str) -> tuple[DataFrame, Column, Column]:
+    """The same by a left join, which Spark broadcasts if the table's size allows it."""
     d = dim.select(F.col("key").alias(f"{name}_k"), F.col("value").alias(f"{name}_v"))
-    out = df.withColumn(f"{name}_key", key).join(F.broadcast(d) if small else d, F.col(f"{name}_key") == F.col(f"{name}_k"), "left")
+    out = df.withColumn(f"{name}_key", key).join(d, F.col(f"{name}_key") == F.col(f"{name}_k"), "left")
     return out, F.col(f"{name}_k").isNotNull().cast("long"), F.coalesce(F.col(f"{name}_v"), F.lit(0).cast("long"))

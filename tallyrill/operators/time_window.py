@@ -15,17 +15,17 @@ from .ordered import running
 
 
 def placed(df: DataFrame, window: Window, ts: str) -> DataFrame:
-    """Each row once for each window that covers its time: ``window_start_ms``.
+    """Each row once for each window that covers its time: ``__ws``, its start.
     A slide beyond the length leaves gaps, rows in which vanish."""
     length, slide = bounds(window)
     t = F.col(f"`{ts}`")
     last = t - F.pmod(t, F.lit(slide).cast("long"))
     if length == slide:
-        return df.withColumn("window_start_ms", last)
+        return df.withColumn("__ws", last)
     before = t - length
     first = before - F.pmod(before, F.lit(slide).cast("long")) + slide
     starts = F.when(first <= last, F.sequence(first, last, F.lit(slide).cast("long")))
-    return df.withColumn("window_start_ms", F.explode(starts))
+    return df.withColumn("__ws", F.explode(starts))
 
 
 def assigned(df: DataFrame, window: Window, ts: str, lag_ms: int, order: str, chunk_rows: int, seen: int | None = None) -> DataFrame:
@@ -35,17 +35,19 @@ def assigned(df: DataFrame, window: Window, ts: str, lag_ms: int, order: str, ch
     marked = running(df, order, {}, {"__seen": F.col(f"`{ts}`")}, chunk_rows)
     if seen is not None:
         marked = marked.withColumn("__seen", F.greatest("__seen", F.lit(seen).cast("long")))
-    return placed(marked, window, ts).where(F.col("window_start_ms") + length >= F.col("__seen") - lag_ms).drop("__seen")
+    return placed(marked, window, ts).where(F.col("__ws") + length >= F.col("__seen") - lag_ms).drop("__seen")
 
 
 def aggregated(rows: DataFrame, window: Window, where: Column, fields: dict[str, Column], key: str | None) -> DataFrame:
     """One row a window, or a window and key. ``fields`` are built with ``where``
     as their condition."""
     length, _ = bounds(window)
-    end = (F.col("window_start_ms") + length).alias("window_end_ms")
+    ends = [F.col("__ws").alias("window_start_ms"), (F.col("__ws") + length).alias("window_end_ms")]
+    made = {n: f"__a{i}" for i, n in enumerate(fields)}
+    aggregates = [c.alias(made[n]) for n, c in fields.items()]
+    named = [F.col(a).alias(n) for n, a in made.items()]
     if key is None:
-        size = F.least(F.count(F.when(where, 1)), F.lit(1)).cast("long").alias("size")
-        out = rows.groupBy("window_start_ms").agg(*[c.alias(n) for n, c in fields.items()], size)
-        return out.select("window_start_ms", end, *fields, "size")
-    out = rows.where(where).groupBy("window_start_ms", F.col(f"`{key}`").cast("long").alias("key")).agg(*[c.alias(n) for n, c in fields.items()])
-    return out.select("window_start_ms", end, "key", *fields)
+        size = F.least(F.count(F.when(where, 1)), F.lit(1)).cast("long").alias("__size")
+        return rows.groupBy("__ws").agg(*aggregates, size).select(*ends, *named, F.col("__size").alias("size"))
+    out = rows.where(where).groupBy("__ws", F.col(f"`{key}`").cast("long").alias("__key")).agg(*aggregates)
+    return out.select(*ends, F.col("__key").alias("key"), *named)

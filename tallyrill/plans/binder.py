@@ -18,17 +18,19 @@ log = logging.getLogger("tallyrill")
 
 class Binder:
     """Binds the expressions of one rule to a record's columns. ``lookup`` gives
-    the two columns (has, value) for a dimension id and a key."""
+    the two columns (has, value) for a dimension id and a key; ``places`` the
+    names under which the data holds the record's columns."""
 
-    def __init__(self, record: str, columns: list[Column], lookup: Callable[[int, SparkColumn], tuple[SparkColumn, SparkColumn]] | None = None):
+    def __init__(self, record: str, columns: list[Column], lookup: Callable[[int, SparkColumn], tuple[SparkColumn, SparkColumn]] | None = None, places: dict[str, str] | None = None):
         self.record, self.columns, self.lookup = record, {c.name: c for c in columns}, lookup
+        self.places = places or {c.name: c.name for c in columns}
 
     def column(self, name: Name) -> Typed:
         if name.record is not None and name.record != self.record:
             raise RuleError(f"{name.record} is not the record of this rule")
         if name.name not in self.columns:  # exact: names are case-sensitive
             raise RuleError(f"no column {name.name} in {self.record}")
-        return F.col(f"`{name.name}`"), self.columns[name.name].kind
+        return F.col(f"`{self.places[name.name]}`"), self.columns[name.name].kind
 
     def expr(self, e) -> Typed:
         if isinstance(e, Number):

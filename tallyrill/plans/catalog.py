@@ -196,8 +196,7 @@ def _traces() -> dict[str, tuple[Query, str | None]]:
 
     def sizes(spark, d):
         e = engine(spark, d)
-        first = e.deliveries("SELECT amount FROM txn WHERE amount > 0 LIMIT 10").withColumnRenamed("size", "first_size")
-        return first.join(e.deliveries("SELECT amount FROM txn WHERE amount > 5000 LIMIT 10").withColumnRenamed("size", "second_size"), "arrival_seq")
+        return e.deliveries_of({"first_size": "SELECT amount FROM txn WHERE amount > 0 LIMIT 10", "second_size": "SELECT amount FROM txn WHERE amount > 5000 LIMIT 10"})
 
     count = "CAST(least(10, coalesce(sum(CASE WHEN amount > {x} THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS BETWEEN 2047 PRECEDING AND CURRENT ROW), 0)) AS BIGINT)"
     return {

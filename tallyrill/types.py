@@ -47,7 +47,6 @@ class EngineConfig:
     default_limit: int = 10
     chunk_rows: int = 1 << 16
     map_literal_keys: int = 1000
-    broadcast_keys: int = 1_000_000
     log_level: str = "INFO"
 
 

@@ -180,3 +180,51 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_names_mean_nothing(spark):
+    """Columns of any name keep their values; output names that are the engine's are refused."""
+    e = make(spark, [("row_no", "long"), ("arrival_seq", "long"), ("window_start_ms", "long"), ("key", "long"), ("__seq", "long"), ("Key", "long")], [(100, 1, 5, 2, 7, 3), (200, 2, 7, 3, 8, 4)])
+    assert values(e.mapper("SELECT row_no AS v, arrival_seq AS w, Key AS k FROM r WHERE row_no > 50")) == [(0, 200, 2, 4), (1, 100, 1, 3)]
+    assert sorted(tuple(r) for r in e.mapper("SELECT row_no AS v, __seq AS s FROM r LIMIT 1", "trace").collect()) == [(0, 0, 100, 7), (1, 0, 200, 8)]
+    (row,) = e.window_aggregate("SELECT _suml(window_start_ms) AS s, _maxl(row_no) AS m FROM r", Tumbling(1000), "arrival_seq").collect()
+    assert tuple(row) == (0, 1000, 12, 200, 1)
+    got = e.keyed_window_aggregate("SELECT _count(row_no) AS n FROM r", Tumbling(1000), "arrival_seq", "key").collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1000, 2, 1), (0, 1000, 3, 1)]
+    for call in (lambda: e.mapper("SELECT row_no FROM r"), lambda: e.mapper("SELECT arrival_seq FROM r", "trace"), lambda: e.window_aggregate("SELECT _count(key) AS size FROM r", Tumbling(5), "key")):
+        with pytest.raises(RuleError):
+            call()
+
+
+@pytest.mark.parametrize("step", [1, 1_000_003, 2**40])
+def test_sparse_orders(spark, step):
+    """Order numbers far apart, negative and beyond the precision of doubles give the same results."""
+    rng = random.Random(5)
+    rows = [(i * step - 7 * step, rng.randrange(10)) for i in range(150)]
+    e = Engine(spark, EngineConfig(window_rows=16, chunk_rows=7))
+    e.def_incoming("r", [("a", "long")])
+    e.bind("r", spark.createDataFrame(rows, "seq long, a long"), "seq")
+    want = {s: sum(a > 5 for _, a in rows[max(0, i - 15) : i + 1]) for i, (s, _) in enumerate(rows)}
+    sizes = e.deliveries_of({"all": "SELECT a FROM r WHERE a > 5 LIMIT 99", "two": "SELECT a FROM r WHERE a > 5 LIMIT -2"}).collect()
+    assert {r["arrival_seq"]: r["all"] for r in sizes} == want
+    assert {r["arrival_seq"]: r["two"] for r in sizes} == {s: min(2, n) for s, n in want.items()}
+    newest = e.mapper("SELECT a FROM r WHERE a > 5 LIMIT 2", "trace").groupBy("arrival_seq").count().collect()
+    assert {r["arrival_seq"]: r["count"] for r in newest} == {s: min(2, n) for s, n in want.items() if n}
+
+
+def test_snapshot_reads_from_a_cutoff(spark, tmp_path):
+    """The 2048th newest order number is found from that column alone and pushed to the scan of the rest."""
+    spark.range(10_000).selectExpr("id AS seq", "id * 2 AS a", "id * 3 AS b").write.parquet(str(tmp_path / "t"))
+    e = Engine(spark)
+    e.def_incoming("r", [("a", "long"), ("b", "long")])
+    e.bind("r", spark.read.parquet(str(tmp_path / "t")), "seq")
+    df = e.mapper("SELECT a, b FROM r LIMIT 1")
+    assert tuple(df.collect()[0]) == (0, 19_998, 29_997)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<seq:bigint>" in plan
+
+
+def test_empty_record(spark):
+    e = make(spark, [("a", "long")], [])
+    assert e.mapper("SELECT a FROM r").count() == e.mapper("SELECT a FROM r", "trace").count() == e.deliveries("SELECT a FROM r").count() == 0
+    assert e.window_aggregate("SELECT _count(a) AS n FROM r", Tumbling(5), "a").count() == 0
