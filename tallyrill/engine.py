@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Column as SparkColumn
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from .functions.aggregates import AGGREGATES, build, result_kind
 from .operators import count_window, time_window
 from .operators.dimensions import Dimension, lookup_join, lookup_literal
 from .plans.binder import Binder, field_name
 from .plans.dialect import Call, Name, Number, Query, Truth, parse
+from .streaming.egress import Delivery, Egress, Policy
+from .streaming.live import Live, LiveWindow, RowRule
 from .types import DOUBLE, LONG, Column, EngineConfig, RuleError, Window, bounds
 
 log = logging.getLogger("tallyrill")
@@ -61,6 +65,8 @@ class WindowRule:
         return time_window.aggregated(rows, self.window, F.col("__pass"), self.fields, self.key)
 
 
+#: Stands for the time at which a micro-batch is worked on; no record has such a column.
+CLOCK = "the clock"
 #: The engine's own output columns, by mode: name in the plan, name in the result.
 PLACES = {"snapshot": [("__row", "row_no")], "trace": [("__arrival", "arrival_seq"), ("__row", "row_no")]}
 
@@ -88,6 +94,11 @@ class Engine:
         self.records: dict[str, Record] = {}
         self.aggregates: list[Aggregate] = []
         self.dimensions: list[Dimension] = []
+        self.egress, self.stopped = Egress(), False
+        self._on_rows: dict[str, list[RowRule]] = {}
+        self._on_windows: dict[str, list[LiveWindow]] = {}
+        self._live: list[tuple[Live, StreamingQuery]] = []
+        log.setLevel(self.config.log_level)
 
     # -- definitions
 
@@ -184,15 +195,7 @@ class Engine:
         delivers any. Columns are matched by name; first and last go by delivery."""
         if not 1 <= aggregate <= len(self.aggregates):
             raise RuleError(f"no aggregate {aggregate}")
-        rows, named = self._ruled(sql, mode)
-        rows = rows.select(*[c for c, _ in PLACES[mode]], *[c.alias(f"__o{i}") for i, (_, c, _) in enumerate(named)])
-        kinds = {n: (f"__o{i}", k) for i, (n, _, k) in enumerate(named)}
-        fields = self._fields(self.aggregates[aggregate - 1].query, kinds, F.col("__row"), None, newest_first=False)
-        if mode != "trace":
-            return rows.agg(*[c.alias(n) for n, c in fields.items()])
-        self._distinct(list(fields), ["arrival_seq"])
-        out = rows.groupBy("__arrival").agg(*[c.alias(f"__a{i}") for i, c in enumerate(fields.values())])
-        return out.select(F.col("__arrival").alias("arrival_seq"), *[F.col(f"__a{i}").alias(n) for i, n in enumerate(fields)])
+        return self._aggregated(*self._ruled(sql, mode), aggregate, mode).withColumnsRenamed({"__arrival": "arrival_seq"})
 
     def window_aggregate(self, sql: str, window: Window, ts_field: str | None = None, lag_ms: int = 0, arrival_ms: str | None = None) -> DataFrame:
         """One row a time window: ``window_start_ms, window_end_ms``, the fields
@@ -206,6 +209,82 @@ class Engine:
             raise RuleError("a keyed window aggregate needs a key")
         return self._windowed(sql, window, ts_field or arrival_ms, lag_ms, key_field)
 
+    # -- callbacks and streams
+
+    def on_rows(self, sql: str, callback: Callable[[list], None]) -> None:
+        """After each arrival of a stream, the rows that a rule selects, as tuples
+        of its fields in delivery order; none, too. Rules of a record are called
+        in the order in which they were given."""
+        rec, query, limit = self._rule(sql)
+        self._binder(rec, _Scope(self._nothing(rec))).named(query)  # what cannot be bound fails here
+
+        def trace(data: DataFrame) -> DataFrame:
+            rows, named = self._traced(rec, data, query, limit)
+            return rows.select("__arrival", "__row", *[c.alias(f"__o{i}") for i, (_, c, _) in enumerate(named)])
+
+        self._on_rows.setdefault(rec.name, []).append(RowRule(trace, callback))
+
+    def on_aggregate(self, sql: str, aggregate: int, callback: Callable[[list], None]) -> None:
+        """After each arrival, a bound aggregate over what a rule selects, as a
+        list of one tuple, or of none where it selects nothing."""
+        if not 1 <= aggregate <= len(self.aggregates):
+            raise RuleError(f"no aggregate {aggregate}")
+        rec, query, limit = self._rule(sql)
+
+        def trace(data: DataFrame) -> DataFrame:
+            rows, named = self._traced(rec, data, query, limit)
+            out = self._aggregated(rows, named, aggregate, "trace")
+            return out.select("__arrival", F.lit(0).cast("long").alias("__row"), *[c for c in out.columns if c != "__arrival"])
+
+        trace(self._nothing(rec))
+        self._on_rows.setdefault(rec.name, []).append(RowRule(trace, callback))
+
+    def on_window(self, sql: str, window: Window, callback: Callable, ts_field: str | None = None, key_field: str | None = None, lag_ms: int = 0) -> None:
+        """The row of each time window, of each key if ``key_field`` is given, when
+        it closes. Without ``ts_field`` the time of the micro-batch counts."""
+        rec, passed, rule = self._window_rule(sql, window, ts_field or CLOCK, key_field, lag_ms)
+        self._on_windows.setdefault(rec.name, []).append(LiveWindow(passed, rule, callback, lag_ms))
+
+    def start(self, name: str, stream: DataFrame, order: str, path: str, idle_ms: int | None = None, **trigger) -> StreamingQuery:
+        """Run the callbacks of a record over a streaming DataFrame, whose unique
+        whole-number column ``order`` grows from batch to batch. ``path``, a
+        folder that driver and executors share, holds what must outlive them."""
+        if self.stopped:
+            raise RuleError("the engine has stopped")
+        rec = self._record(name)
+        live = Live(self.spark, f"{path}/state", self.egress, self._on_rows.get(name, []), self._on_windows.get(name, []), self.config.window_rows, self.config.chunk_rows, idle_ms)
+        data = self._cast(rec, stream, order)
+
+        def batch(df: DataFrame, batch_id: int) -> None:
+            live(df.withColumn("__clock", F.lit(int(time.time() * 1000)).cast("long")), batch_id)
+
+        writer = data.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint")
+        query = (writer.trigger(**trigger) if trigger else writer).start()
+        self._live.append((live, query))
+        return query
+
+    def set_delivery_mode(self, mode: Delivery) -> None:
+        self.egress.delivery = mode
+
+    def set_egress_policy(self, policy: Policy, threshold_ms: int) -> None:
+        self.egress.set_policy(policy, threshold_ms)
+
+    def set_alert_listener(self, listener: Callable | None) -> None:
+        self.egress.set_alert_listener(listener)
+
+    def gauges(self) -> dict[str, int]:
+        """Results that wait, were dropped, and alerts so far."""
+        return {"pending": self.egress.pending, "dropped": self.egress.dropped, "alerts": self.egress.alerts}
+
+    def stop(self) -> None:
+        """End all streams and delivery, for good. Windows that are open are not
+        delivered; their rows stay at the streams' paths."""
+        self.stopped = True
+        for live, query in self._live:
+            live.stop()
+            query.stop()
+        self.egress.stop()
+
     # -- parts
 
     def _record(self, name: str) -> Record:
@@ -242,13 +321,34 @@ class Engine:
         if mode not in PLACES:
             raise RuleError(f"mode {mode}: snapshot or trace")
         rows, order, most = self._data(rec), rec.order, self.config.window_rows
-        # Lookups meet the latest rows alone, where these are all that counts.
-        scope = _Scope(count_window.latest(rows, order, most) if mode == "snapshot" else rows)
+        if mode == "trace":
+            return self._traced(rec, rows, query, limit)
+        # Lookups meet the latest rows alone, as these are all that counts.
+        scope = _Scope(count_window.latest(rows, order, most))
+        binder = self._binder(rec, scope)
+        where, named = binder.where(query.where), binder.named(query)
+        return count_window.snapshot(scope.df, order, where, limit), named
+
+    def _traced(self, rec: Record, data: DataFrame, query: Query, limit: int) -> tuple[DataFrame, list[tuple[str, SparkColumn, str]]]:
+        scope = _Scope(data)
         binder = self._binder(rec, scope)
         where, named = binder.where(query.where), binder.named(query)
-        if mode == "snapshot":
-            return count_window.snapshot(scope.df, order, where, limit), named
-        return count_window.trace(scope.df, order, where, limit, most, self.config.chunk_rows), named
+        return count_window.trace(scope.df, "__seq", where, limit, self.config.window_rows, self.config.chunk_rows), named
+
+    def _aggregated(self, rows: DataFrame, named: list[tuple[str, SparkColumn, str]], aggregate: int, mode: str) -> DataFrame:
+        """The fields of a bound aggregate; with mode trace behind ``__arrival``."""
+        rows = rows.select(*[c for c, _ in PLACES[mode]], *[c.alias(f"__o{i}") for i, (_, c, _) in enumerate(named)])
+        kinds = {n: (f"__o{i}", k) for i, (n, _, k) in enumerate(named)}
+        fields = self._fields(self.aggregates[aggregate - 1].query, kinds, F.col("__row"), None, newest_first=False)
+        if mode != "trace":
+            return rows.agg(*[c.alias(n) for n, c in fields.items()])
+        self._distinct(list(fields), ["arrival_seq"])
+        out = rows.groupBy("__arrival").agg(*[c.alias(f"__a{i}") for i, c in enumerate(fields.values())])
+        return out.select("__arrival", *[F.col(f"__a{i}").alias(n) for i, n in enumerate(fields)])
+
+    def _nothing(self, rec: Record) -> DataFrame:
+        """No arrivals of a record."""
+        return self.spark.createDataFrame([], ", ".join([f"{rec.places[c.name]} {c.kind}" for c in rec.columns] + ["__seq long"]))
 
     @staticmethod
     def _distinct(names: list[str], own: list[str]) -> None:
@@ -297,6 +397,8 @@ class Engine:
         rec, query, _ = self._rule(sql)
         bounds(window)
         kinds = {c.name: (rec.places[c.name], c.kind) for c in rec.columns}
+        if ts == CLOCK:
+            kinds |= {CLOCK: ("__clock", LONG)}
         for name in (ts, key):
             if name is not None and name not in kinds:
                 raise RuleError(f"no column {name} in {rec.name}")

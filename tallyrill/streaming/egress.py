@@ -49,7 +49,7 @@ class Egress:
         self.listener: Callable[[Alert], None] | None = None
         self._queue: queue.Queue = queue.Queue()
         self._lock, self._busy_since, self._hangs, self._stopped = threading.Lock(), None, 0, threading.Event()
-        self._alerted = False
+        self._alerted, self._more = False, threading.Event()
         self._watch: threading.Thread | None = None
 
     def set_policy(self, policy: Policy, threshold_ms: int) -> None:
@@ -71,6 +71,7 @@ class Egress:
             self._watch = threading.Thread(target=self._guard, daemon=True)
             self._watch.start()
         self._queue.put((callback, args))
+        self._more.set()
 
     def deliver_rows(self, callback: Callable[[list], None], df: DataFrame) -> None:
         """The rows of a bounded result (a rule's LIMIT) to a callback."""
@@ -87,11 +88,13 @@ class Egress:
     def _consume(self, generation: int) -> None:
         while not self._stopped.is_set() and generation == self.generation:
             try:
-                callback, args = self._queue.get(timeout=TICK_S)
+                with self._lock:  # what has left the queue is being worked on
+                    callback, args = self._queue.get_nowait()
+                    self._busy_since, self._alerted = time.monotonic(), False
             except queue.Empty:
+                self._more.wait(TICK_S)
+                self._more.clear()
                 continue
-            with self._lock:
-                self._busy_since, self._alerted = time.monotonic(), False
             try:
                 callback(*args)
             except Exception:
@@ -133,8 +136,9 @@ class Egress:
         """Wait until the queue is empty and no callback runs."""
         end = time.monotonic() + timeout_s
         while time.monotonic() < end:
-            if not self.pending and self._busy_since is None:
-                return True
+            with self._lock:
+                if not self.pending and self._busy_since is None:
+                    return True
             time.sleep(TICK_S / 4)
         return False
 
