@@ -25,14 +25,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrill.llm import decontaminate, exact_dedup, near_dedup, pieces, quality
 from tallyrill.llm.common import keyed, stage, table
 
-#: The order in which one row of a group is picked.
-PLACE = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__key").alias("key"))
+
+def _place() -> Column:
+    """The order in which one row of a group is picked."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__key").alias("key"))
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of equal texts one stays."""
     index = exact_dedup.DigestIndex(spark, f"pipeline_index_{uuid.uuid4().hex}")
-    kept = index.dedup(keyed(docs).withColumn("__place", PLACE), "__place").drop("__key", "__place")
+    kept = index.dedup(keyed(docs).withColumn("__place", _place()), "__place").drop("__key", "__place")
     index.drop()  # the rows that go are known by now
     return kept
 
@@ -58,7 +60,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = keyed(docs)
     classes = near_dedup.near_duplicates(rows, "__key").where("class_size > 1").select(F.col("doc_id").alias("__key"), "class_id")
     twins = stage(classes.join(rows.select("__key", "doc_id"), "__key"), "twins")
-    best = twins.groupBy("class_id").agg(F.min(PLACE).alias("best"))
+    best = twins.groupBy("class_id").agg(F.min(_place()).alias("best"))
     return _without(rows, twins.join(best, "class_id").where("__key <> best.key").select("__key"))
 
 

@@ -228,3 +228,13 @@ def test_empty_record(spark):
     e = make(spark, [("a", "long")], [])
     assert e.mapper("SELECT a FROM r").count() == e.mapper("SELECT a FROM r", "trace").count() == e.deliveries("SELECT a FROM r").count() == 0
     assert e.window_aggregate("SELECT _count(a) AS n FROM r", Tumbling(5), "a").count() == 0
+
+
+def test_entry_needs_no_session():
+    """The driver's file can be imported before there is a session."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 70"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
