@@ -3,7 +3,8 @@
 A word's input is the sum of two hashed word vectors (two, so that hardly any
 two words agree in both) and the mean of the hashed vectors of its character
 trigrams. Windows of ``WIDTH`` words, each starting
-``STEP`` after the one before, cover every whole text; two gated recurrent
+``STEP`` after the one before (twice that in training), cover every whole text, so
+any run of ``WIDTH - STEP + 1`` words lies whole in one; two gated recurrent
 layers read a window in both directions, attention pools their states, and a
 document's score is that of its highest window. All of it, training included,
 is numpy.
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import ship, stage, table
 from .quality import held_out
 
-WIDTH, STEP = 32, 16
+WIDTH, STEP = 32, 8
 DIM, HID, ATT = 16, 8, 8
 WORD_SLOTS, GRAM_SLOTS = 1 << 14, 1 << 12
 DOCS, LONGEST, WINDOWS, CACHE, BATCH = 1500, 20_000, 3000, 150_000, 1024
@@ -80,7 +81,7 @@ def _row_sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sig(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class BiGru:
@@ -209,11 +210,11 @@ class BiGru:
         return self
 
 
-def windows_of(words: list[str]) -> list[list[str]]:
-    """All overlapping windows; the last ends with the text."""
+def windows_of(words: list[str], step: int = 2 * STEP) -> list[list[str]]:
+    """Overlapping windows to train on; the last ends with the text."""
     if len(words) <= WIDTH:
         return [words]
-    starts = [*range(0, len(words) - WIDTH, STEP), len(words) - WIDTH]
+    starts = [*range(0, len(words) - WIDTH, step), len(words) - WIDTH]
     return [words[i : i + WIDTH] for i in starts]
 
 
