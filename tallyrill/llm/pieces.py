@@ -10,10 +10,15 @@ with the word before stay, only the rest is worked out. A word's ids are the pat
 of greatest total score; characters without a piece go as bytes. Of paths of one
 score, that whose last piece is longest is taken, from the end on.
 
-The scores of a BPE model are ranks of merges, not logarithms of probability;
-the result is then the path of the least total rank by definition, which need
-not be that of the merges in order. Decoding gives the text back exactly: a mark
-that stands in a text itself goes as bytes.
+The scores of a BPE model are ranks of merges, not logarithms of probability, and
+the path of the greatest sum is not what the merges give. For such a model the
+same walk carries, for each prefix, the last piece of its merged form instead of
+a score: of the pieces that end at a place, the one counts whose border to the
+last piece before it no merge would have crossed, and there is exactly one.
+``viterbi`` is for models with probabilities, ``merged`` for ranks.
+
+Decoding gives the text back exactly: a mark that stands in a text itself goes as
+bytes.
 
 Defined results: a null text counts as empty and has no ids; lone surrogates
 cannot occur in Parquet strings; rows are encoded one by one, so repeated rows
@@ -24,6 +29,7 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -73,6 +79,14 @@ class Pieces:
                 node = node.setdefault(c, {})
             node[""] = score
         self.words = WordIds(self.find, CACHE)
+        #: Ranks of merges are whole numbers; logarithms of probabilities are not.
+        self.ranked = all(x == int(x) for x, _ in self.score.values())
+        self.walk = self.merged if self.ranked else self.viterbi
+        if self.ranked:
+            by_rank = sorted(self.score.items(), key=lambda x: (-x[1][0], x[1][1]))
+            self.rank = {piece: k for k, (piece, _) in enumerate(by_rank)}
+            self.halves = {piece: self._halves(piece) for piece in self.score if len(piece) > 1}
+            self.apart: dict[tuple[str, str], bool] = {}
 
     def viterbi(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct words, given in sorted order."""
@@ -111,10 +125,115 @@ class Pieces:
             last = word
         return out
 
+    def _merge(self, word: str, whole: bool = True) -> list[str]:
+        """Merge the characters of ``word`` by rank, leftmost first, up to two
+        parts unless ``whole``."""
+        parts, left = list(word), len(word)
+        after, before = list(range(1, left + 1)), list(range(-1, left - 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i] if i >= 0 else left_end
+            if j < left_end:
+                found = self.score.get(parts[i] + parts[j])
+                if found is not None:
+                    heapq.heappush(heap, (-found[0], i, len(parts[i]) + len(parts[j])))
+
+        left_end = left
+        for i in range(left_end - 1):
+            offer(i)
+        while heap and (whole or left > 2):
+            _, i, size = heapq.heappop(heap)
+            j = after[i]
+            if not parts[i] or j >= left_end or len(parts[i]) + len(parts[j]) != size:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], left = parts[i] + parts[j], "", left - 1
+            after[i] = after[j]
+            if after[i] < left_end:
+                before[after[i]] = i
+            offer(i)
+            offer(before[i])
+        return [x for x in parts if x]
+
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts whose merge makes ``piece``; None if merges make something else."""
+        parts = self._merge(piece, False)
+        return tuple(parts) if len(parts) == 2 else None
+
+    def border(self, a: str, b: str) -> bool:
+        """Whether the merges of ``a + b`` leave the border between the pieces.
+        Their own merges are undone from the last one back; the border holds
+        unless what lies at it could have been merged before that."""
+        known = self.apart.get((a, b))
+        if known is not None:
+            return known
+        x, y, limit, holds = a, b, len(self.rank) + 1, True
+        while True:
+            if self.rank.get(x + y, limit) < limit:
+                holds = False
+                break
+            # The later merge is undone first; of one piece twice, the right one was made later.
+            p, q = (self.rank[z] if len(z) > 1 else -1 for z in (x, y))
+            if p < 0 and q < 0:
+                break
+            if p > q:
+                x, limit = self.halves[x][1], p
+            else:
+                y, limit = self.halves[y][0], q + 1
+        if len(self.apart) >= 1_000_000:
+            self.apart.clear()
+        self.apart[a, b] = holds
+        return holds
+
+    def merged(self, words: list[str]) -> list[list[int]]:
+        """Ids of distinct words, given in sorted order, as the merges give them."""
+        out, last = [], ""
+        back: list[int] = [0]  # where the last piece of each prefix starts; below zero: one character, as bytes
+        for word in words:
+            if MARK * 2 in word:  # pieces of marks have one rank: merged as they stand
+                out.append([i for part in self._merge(word) for i in self._ids(part)])
+                continue
+            k, most = 0, min(len(word), len(last))
+            while k < most and word[k] == last[k]:
+                k += 1
+            del back[k + 1 :]
+            for end in range(k + 1, len(word) + 1):
+                node, start, found = self.backward, end, []
+                while start:
+                    node = node.get(word[start - 1])
+                    if node is None:
+                        break
+                    start -= 1
+                    if "" in node:
+                        found.append(start)
+                origin = -end
+                for start in reversed(found):
+                    piece = word[start:end]
+                    if len(piece) > 1 and self.halves[piece] is None:
+                        continue
+                    before = back[start]
+                    if start == 0 or before < 0 or self.border(word[before:start], piece):
+                        origin = start
+                        break
+                back.append(origin)
+            ids: list[int] = []
+            end = len(word)
+            while end:
+                start = back[end] if back[end] >= 0 else end - 1
+                ids += reversed(self._ids(word[start:end]))
+                end = start
+            out.append(ids[::-1])
+            last = word
+        return out
+
+    def _ids(self, part: str) -> list[int]:
+        found = self.score.get(part)
+        return [found[1]] if found else [self.byte.get(b, self.unknown) for b in part.encode()]
+
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and the ends of the texts in them, 0 first."""
-        # Single spaces and line breaks only: words can be cut by replacement.
-        plain = np.array(["  " not in t and MARK not in t and "\0" not in t for t in texts], bool)
+        # Single spaces between words and line breaks only: words can be cut by replacement.
+        plain = np.array([t[:1] != " " and "  " not in t and MARK not in t and "\0" not in t for t in texts], bool)
         parts = []
         for k, cut in ((np.flatnonzero(plain), self._cut_plain), (np.flatnonzero(~plain), self._cut)):
             parts.append((k, *self.words.encode(cut([texts[i] for i in k]))))
@@ -140,7 +259,7 @@ class Pieces:
         """Ids of distinct sorted words in turn, and the words' ends, 0 first."""
         marks = [self.byte.get(b, self.unknown) for b in MARK.encode()]
         names = words.to_pylist()
-        walked = iter(self.viterbi([w for w in names if w != OWN]))
+        walked = iter(self.walk([w for w in names if w != OWN]))
         found = [marks if w == OWN else next(walked) for w in names]
         ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
         return np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1])), ends

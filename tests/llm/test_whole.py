@@ -299,3 +299,97 @@ def test_quality_repeated_ids(spark):
     assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("mean", "w1", "b1", "w2", "b2"))
     assert quality.score(quality.accepted(df.limit(0), a), a).count() == 0
     assert quality.accepted(df.selectExpr("*", "1 AS score", "2 AS f"), a, 0.0).count() == 200
+
+
+def test_toxicity_gradients_of_all():
+    """Gradients of every parameter of the network against differences."""
+    import numpy as np
+
+    from tallyrill.llm import toxicity
+
+    m = toxicity.BiGru(2)
+    m.p = {k: v.astype(np.float64) * (3 if v.ndim > 1 else 1) + 0.05 for k, v in m.p.items()}
+    r = np.random.default_rng(4)
+    x, index, mask = r.normal(0, 1, (6, toxicity.DIM)), r.integers(0, 6, (5, 3)), np.ones((5, 3))
+    mask[3:, 1] = 0
+    total = lambda: float(m.run(m.gates(x).astype(np.float64), index, mask).sum())
+    tape = {}
+    m.run(m.gates(x), index, mask, tape)
+    g, dg = m.backward(tape, index, mask, np.ones(3), 6)
+    dx = np.zeros_like(x)
+    for k, d in enumerate("fb"):
+        part = dg[:, 3 * toxicity.HID * k : 3 * toxicity.HID * (k + 1)]
+        g["w" + d], g["b" + d] = x.T @ part, part.sum(0)
+        dx += part @ m.p["w" + d].T
+    for name, found in [*g.items(), ("x", dx)]:
+        value = x if name == "x" else m.p[name]
+        for at in list(np.ndindex(value.shape))[:: max(1, value.size // 5)]:
+            old, sums = value[at], []
+            for e in (1e-3, -1e-3):
+                value[at] = old + e
+                sums.append(total())
+            value[at] = old
+            assert abs((sums[0] - sums[1]) / 2e-3 - found[at]) < 5e-3 * max(1, abs(found[at])), (name, at)
+
+
+def test_toxicity_on_spark(spark):
+    """Nulls, empty tables, repeated rows, other columns, and labels of one kind."""
+    from tallyrill.llm import toxicity
+
+    r = random.Random(7)
+    say = lambda bad: " ".join([*(f"w{r.randrange(60)}" for _ in range(0)), *("".join(r.choice("abcdef") for _ in range(5)) for _ in range(60)), *(["zounds"] * 3 * bad)])
+    rows = [(i, say(i % 3 == 0), "", "", 0) for i in range(150)] + [(0, None, "", "", 0), (None, "zounds " * 9, "", "", 0), (None, "", "", "", 0)]
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS id", "'x' AS toxic", "2 AS score")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(150)] + [(3, 0, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, labels)
+    got = toxicity.score(df, model).collect()
+    assert len(got) == len(rows) and all(0 <= x["score"] <= 1 for x in got)
+    score = {x["doc_id"]: x["score"] for x in got if x["doc_id"]}
+    assert sum((score[i] >= 0.5) == (i % 3 == 0) for i in range(1, 150)) > 135
+    assert toxicity.fit(df, labels.where("toxic = 0")) is None and {x["score"] for x in toxicity.score(df, None).collect()} == {0.0}
+    assert toxicity.fit(df.limit(0), labels) is None and toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_near_dedup_template(spark):
+    """Many documents of one template that are no near copies, some of them in one class by way of others."""
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+
+    def changed(n):
+        words, at = base[:], r.randrange(300 - n)
+        words[at : at + n] = [f"x{r.random()}" for _ in range(n)]
+        return " ".join(words)
+
+    texts = [changed(4 if 150 <= i < 170 else 24) for i in range(320)]
+    want = brute_classes(texts)
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(df).collect()}
+    assert len({got[i] for i in range(150, 170)}) == len({want[i] for i in range(150, 170)}) == 1
+    pairs = [(i, j) for i in range(320) for j in range(i) if want[i] == want[j]]
+    recall = sum(got[i] == got[j] for i, j in pairs) / len(pairs)
+    assert recall >= 0.9 and all(want[i] == want[j] for i in got for j in range(i) if got[i] == got[j])
+    print("recall", recall, len(pairs))
+
+
+def test_pieces_equal_the_library():
+    """Ids of texts of all kinds are those of the model's own encoder, and text comes back."""
+    import time
+
+    import sentencepiece
+
+    from tallyrill.llm import pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    p, sp = pieces.Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(12)
+    letters = "abcdeehilnorstuTHE 0123,.'\"éßñÄö日本語🙂\t\n" + " " * 6
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 80))) for _ in range(1500)]
+    texts += ["".join(r.choice("aehinst ") for _ in range(r.randint(0, 200))) for _ in range(500)]
+    texts += ["", " ", "  ", "\n\n", "a" * 300, "the " * 50, " lead", "trail ", "the    gap " + " " * 37, "thethethethe", "x\0y"]
+    flat, ends = p.encode_batch(texts)
+    for t, a, b in zip(texts, ends, ends[1:]):
+        assert flat[a:b].tolist() == sp.encode(t), t
+    assert p.decode_batch(flat, ends) == texts
+    began = time.process_time()
+    long = [" " * 100_000, "a" * 100_000, "".join(r.choice("abcdefgh") for _ in range(100_000))]
+    assert p.decode_batch(*p.encode_batch(long)) == long and time.process_time() - began < 20
