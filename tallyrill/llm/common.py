@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import tempfile
 import uuid
@@ -103,6 +105,14 @@ def small(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 2 <<
             to = min(max(int(np.searchsorted(ends, before + most_bytes, "right")), at + 1), at + most_rows)
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Give memory that a worker has freed back to the system before it idles."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -48,7 +48,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 5, 25
 COORDS = ROWS * BANDS
 DARTS = COORDS * np.log(COORDS) + 2 * COORDS
-CACHE = 200_000
+CACHE = 100_000
 #: Members and cells of one side of a block, about.
 BLOCK, BLOCK_CELLS = 512, 1 << 20
 #: Up to so many ids of candidates (8 bytes each) are broadcast; beyond that all texts are shuffled.

@@ -46,7 +46,9 @@ from .common import WordIds, ranges, ship, small, table
 MARK = "▁"
 #: Stands for a mark of the text itself; no word has two line breaks.
 OWN = "\n\n"
-CACHE = 200_000
+CACHE = 100_000
+#: Of so many pairs of pieces a worker remembers whether a border holds.
+BORDERS = 100_000
 #: Texts are encoded in batches of up to so many bytes and rows.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 1024
 WORD = re.compile(r"▁*[^▁\n]+|\n|▁+")
@@ -180,7 +182,7 @@ class Pieces:
                 x, limit = self.halves[x][1], p
             else:
                 y, limit = self.halves[y][0], q + 1
-        if len(self.apart) >= 1_000_000:
+        if len(self.apart) >= BORDERS:
             self.apart.clear()
         self.apart[a, b] = holds
         return holds
