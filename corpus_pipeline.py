@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrill.llm import decontaminate, exact_dedup, near_dedup, pieces, quality
-from tallyrill.llm.common import keyed, stage, table
+from tallyrill.llm.common import BATCHES, keyed, stage, table
 
 
 def _place() -> Column:
@@ -37,6 +37,15 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__key").alias("key"))
 
 
+def _few_at_once(spark: SparkSession) -> None:
+    """Stages follow each other on the same executors, whose Python workers keep
+    what they have loaded: rows pass to and from them 1024 at a time, unless the
+    session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) in ("10000", BATCHES[key][1]):
+        spark.conf.set(key, "1024")
+
+
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """``rows`` less those whose key is in the one column of ``gone``."""
     return rows.join(stage(gone.toDF("__key"), "gone"), "__key", "left_anti").drop("__key")
@@ -44,7 +53,9 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents below the threshold of quality go."""
-    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    _few_at_once(spark)
+    return quality.accepted(docs, model)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +68,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each class of near-duplicates the least id stays."""
+    _few_at_once(spark)
     rows = keyed(docs)
     classes = near_dedup.near_duplicates(rows, "__key").where("class_size > 1").select(F.col("doc_id").alias("__key"), "class_id")
     twins = stage(classes.join(rows.select("__key", "doc_id"), "__key"), "twins")
@@ -75,6 +87,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: ``doc_id``, the ids of the pieces, and the decoded text."""
     import public_tokenizers
 
+    _few_at_once(spark)
     return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
