@@ -51,6 +51,8 @@ CACHE = 100_000
 BORDERS = 100_000
 #: Texts are encoded in batches of up to so many bytes and rows.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 1024
+#: Where whole texts and ids go back beside the input, of half as many bytes.
+TRIP_BYTES = BATCH_BYTES // 2
 WORD = re.compile(r"▁*[^▁\n]+|\n|▁+")
 
 
@@ -320,7 +322,7 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = pieces(model)
-        for b in small(batches, 1, BATCH_BYTES, BATCH_ROWS):
+        for b in small(batches, 1, TRIP_BYTES, BATCH_ROWS):
             flat, ends = code.encode_batch(b.column(1).to_pylist())
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(code.decode_batch(flat, ends), pa.string())], ["doc_id", "ids", "text"])
