@@ -33,6 +33,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -48,7 +49,7 @@ MARK = "▁"
 OWN = "\n\n"
 CACHE = 100_000
 #: Of so many pairs of pieces a worker remembers whether a border holds.
-BORDERS = 100_000
+BORDERS = 340_000
 #: Texts are encoded in batches of up to so many bytes and rows.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 1024
 #: Where whole texts and ids go back beside the input, of half as many bytes.
@@ -56,6 +57,18 @@ TRIP_BYTES = BATCH_BYTES // 2
 WORD = re.compile(r"▁*[^▁\n]+|\n|▁+")
 
 
+def _backward(values: dict[str, float]) -> dict:
+    """A trie of pieces read from their ends, with their values under "": of
+    pieces that end at one place it meets the shorter ones first."""
+    top: dict = {}
+    for piece, value in values.items():
+        node = top
+        for c in reversed(piece):
+            node = node.setdefault(c, {})
+        node[""] = value
+    return top
+
+
 class Pieces:
     """A model's pieces; encodes and decodes."""
 
@@ -74,14 +87,6 @@ class Pieces:
         self.score = {self.text[i]: (sp.get_score(i), i) for i in plain}
         #: A character as bytes scores below all paths of pieces.
         self.worst = min(s for s, _ in self.score.values()) * 16 - 1000
-        #: A trie of the pieces read from their ends, with scores under "": of pieces
-        #: that end at one place it meets the shorter ones first.
-        self.backward: dict = {}
-        for p, (score, _) in self.score.items():
-            node = self.backward
-            for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = score
         self.words = WordIds(self.find, CACHE)
         #: Ranks of merges are whole numbers; logarithms of probabilities are not.
         self.ranked = all(x == int(x) for x, _ in self.score.values())
@@ -89,8 +94,16 @@ class Pieces:
         if self.ranked:
             by_rank = sorted(self.score.items(), key=lambda x: (-x[1][0], x[1][1]))
             self.rank = {piece: k for k, (piece, _) in enumerate(by_rank)}
+            self.by_rank = [(piece, i) for piece, (_, i) in by_rank]
             self.halves = {piece: self._halves(piece) for piece in self.score if len(piece) > 1}
-            self.apart: dict[tuple[str, str], bool] = {}
+            #: By the ranks of two pieces, as one number.
+            self.apart: dict[int, bool] = {}
+            self.made = _backward({piece: k for piece, k in self.rank.items() if len(piece) == 1 or self.halves[piece]})
+
+    @cached_property
+    def backward(self) -> dict:
+        """The pieces with their scores."""
+        return _backward({piece: score for piece, (score, _) in self.score.items()})
 
     def viterbi(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct words, given in sorted order."""
@@ -164,14 +177,14 @@ class Pieces:
         parts = self._merge(piece, False)
         return tuple(parts) if len(parts) == 2 else None
 
-    def border(self, a: str, b: str) -> bool:
-        """Whether the merges of ``a + b`` leave the border between the pieces.
-        Their own merges are undone from the last one back; the border holds
+    def border(self, a: int, b: int) -> bool:
+        """Whether the merges of two pieces, given by rank, leave the border
+        between them, the one before the other. Their own merges are undone from the last one back; the border holds
         unless what lies at it could have been merged before that."""
-        known = self.apart.get((a, b))
+        known = self.apart.get(a * len(self.by_rank) + b)
         if known is not None:
             return known
-        x, y, limit, holds = a, b, len(self.rank) + 1, True
+        x, y, limit, holds = self.by_rank[a][0], self.by_rank[b][0], len(self.rank) + 1, True
         while True:
             if self.rank.get(x + y, limit) < limit:
                 holds = False
@@ -186,13 +199,14 @@ class Pieces:
                 y, limit = self.halves[y][0], q + 1
         if len(self.apart) >= BORDERS:
             self.apart.clear()
-        self.apart[a, b] = holds
+        self.apart[a * len(self.by_rank) + b] = holds
         return holds
 
     def merged(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct words, given in sorted order, as the merges give them."""
         out, last = [], ""
-        back: list[int] = [0]  # where the last piece of each prefix starts; below zero: one character, as bytes
+        back: list[int] = [0]  # where the last piece of each prefix starts
+        rank: list[int] = [-1]  # and its rank; below zero: one character, as bytes
         for word in words:
             if MARK * 2 in word:  # pieces of marks have one rank: merged as they stand
                 out.append([i for part in self._merge(word) for i in self._ids(part)])
@@ -200,32 +214,32 @@ class Pieces:
             k, most = 0, min(len(word), len(last))
             while k < most and word[k] == last[k]:
                 k += 1
-            del back[k + 1 :]
+            del back[k + 1 :], rank[k + 1 :]
             for end in range(k + 1, len(word) + 1):
-                node, start, found = self.backward, end, []
+                node, start, found = self.made, end, []
                 while start:
-                    node = node.get(word[start - 1])
+                    start -= 1
+                    node = node.get(word[start])
                     if node is None:
                         break
-                    start -= 1
                     if "" in node:
-                        found.append(start)
-                origin = -end
-                for start in reversed(found):
-                    piece = word[start:end]
-                    if len(piece) > 1 and self.halves[piece] is None:
-                        continue
-                    before = back[start]
-                    if start == 0 or before < 0 or self.border(word[before:start], piece):
-                        origin = start
+                        found.append((start, node[""]))
+                origin, mine = end - 1, -1
+                for start, one in reversed(found):
+                    before = rank[start]
+                    if before < 0 or self.border(before, one):
+                        origin, mine = start, one
                         break
                 back.append(origin)
+                rank.append(mine)
             ids: list[int] = []
             end = len(word)
             while end:
-                start = back[end] if back[end] >= 0 else end - 1
-                ids += reversed(self._ids(word[start:end]))
-                end = start
+                if rank[end] < 0:
+                    ids += reversed(self._ids(word[end - 1 : end]))
+                else:
+                    ids.append(self.by_rank[rank[end]][1])
+                end = back[end]
             out.append(ids[::-1])
             last = word
         return out
