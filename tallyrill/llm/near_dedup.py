@@ -255,15 +255,18 @@ def _compare(block: pa.Table) -> pa.Table:
 
 def _settled(met: DataFrame, lone: DataFrame, found: DataFrame, bags: DataFrame) -> DataFrame | None:
     """The links ``a, b`` between components among members of a bucket that are
-    not its ends; None where no bucket has such members."""
-    inner = met.where("id <> first AND id <> last").select("key", "id")
-    inner = inner.join(found, "id").join(lone.select("id", "n"), "id")
+    not its ends; None where no bucket has such members. What is joined by id
+    has one row for each id, whose buckets are a list of up to ``BANDS``."""
+    inner = met.where("id <> first AND id <> last").groupBy("id").agg(F.collect_list("key").alias("inside"))
+    inner = stage(inner.join(found, "id").join(lone.select("id", "n"), "id"), "inside").select("id", "root", "n", F.explode("inside").alias("key"))
     groups = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_CELLS)).cast("int").alias("groups")
     loose = inner.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), groups).where("low < high").select("key", "groups")
-    dealt = stage(inner.join(loose, "key").select("key", "id", "root", "groups", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("g")), "loose")
+    dealt = inner.join(loose, "key").groupBy("id", "root").agg(F.collect_list(F.struct("key", "groups")).alias("inside"))
+    dealt = stage(dealt, "loose")
     if dealt.limit(1).count() == 0:
         return None
-    whole = dealt.join(bags, "id").join(lone.select("id", "keys"), "id")
+    whole = dealt.join(bags, "id").join(lone.select("id", "keys"), "id").select("id", "root", "cells", "keys", F.explode("inside").alias("of"))
+    whole = whole.select("of.*", "id", "root", "cells", "keys").withColumn("g", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int"))
     sides = whole.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     sides = sides.select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "id", "root", "cells", "keys")
     return stage(sides.groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long"), "links")

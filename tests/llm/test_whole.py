@@ -1,6 +1,7 @@
 """Operators do the whole job: cases that a shortcut would miss."""
 
 import random
+import re
 from collections import Counter
 
 import public_tokenizers
@@ -393,3 +394,44 @@ def test_pieces_equal_the_library():
     began = time.process_time()
     long = [" " * 100_000, "a" * 100_000, "".join(r.choice("abcdefgh") for _ in range(100_000))]
     assert p.decode_batch(*p.encode_batch(long)) == long and time.process_time() - began < 20
+
+
+def rows_of_joins(spark, after):
+    """Rows that inner joins by id alone made, of all executions after number ``after``; and the last number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, total, last = spark._jsparkSession.sharedState().statusStore(), 0, after
+    runs = store.executionsList().iterator()
+    while runs.hasNext():
+        k = runs.next().executionId()
+        last = max(last, k)
+        if k <= after:
+            continue
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            metrics = node.metrics().iterator()
+            if not re.search(r"Join \[id#\d+L?\], \[id#\d+L?\], Inner", node.desc()):
+                continue
+            while metrics.hasNext():
+                m = metrics.next()
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total, last
+
+
+def template_crowd(n):
+    """Texts of one template: a third of each is its own, and the inner members of their buckets are in several classes."""
+    r = random.Random(9)
+    base = [f"b{k}" for k in range(300)]
+    return [" ".join(w if r.random() > 0.02 else f"x{r.random()}" for w in base) for _ in range(n)]
+
+
+def test_near_dedup_joins_by_id(spark):
+    """Joins by id make a few rows for each document, not some for each bucket that it lies in."""
+    texts = template_crowd(240)
+    after = rows_of_joins(spark, -1)[1]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(df).collect()}
+    made, _ = rows_of_joins(spark, after)
+    assert got == dict(enumerate(brute_classes(texts)))
+    assert 0 < made <= 6 * len(texts), made
