@@ -435,3 +435,16 @@ def test_near_dedup_joins_by_id(spark):
     made, _ = rows_of_joins(spark, after)
     assert got == dict(enumerate(brute_classes(texts)))
     assert 0 < made <= 6 * len(texts), made
+
+
+def test_pipeline_joins_by_id(spark):
+    """The same in the pipeline, whose near-dedup stage keeps the least id of each class."""
+    import corpus_pipeline
+
+    texts = template_crowd(120)
+    after = rows_of_joins(spark, -1)[1]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
+    got = sorted(x["doc_id"] for x in corpus_pipeline.near_dedup_stage(spark, df, "").collect())
+    made, _ = rows_of_joins(spark, after)
+    assert got == sorted(set(brute_classes(texts)))
+    assert 0 < made <= 6 * len(texts), made
